@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -45,3 +46,20 @@ def dropped(df: DataFrame) -> None:
             continue
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_enough(rows: int, width: int = 16, limit_mb: int = 32) -> bool:
+    """Whether ``rows`` rows of about ``width`` bytes may be broadcast."""
+    return rows * width <= limit_mb << 20
+
+
+def semi_join(big: DataFrame, keys: DataFrame, on: str | list[str], width: int = 16, limit_mb: int = 32) -> DataFrame:
+    """Rows of ``big`` whose key is in the written table ``keys``.
+
+    The keys are counted first: they are broadcast only up to ``limit_mb``, beyond that both sides are
+    exchanged.
+    """
+    keys = keys.select(*([on] if isinstance(on, str) else on))
+    if small_enough(keys.count(), width, limit_mb):
+        keys = F.broadcast(keys)
+    return big.join(keys, on, "left_semi")
