@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebrook.llm import mixing, splitting, tokenizer
+from sagebrook.llm import mixing, neardup, splitting, tokenizer
 from sagebrook.storage import written
 
 
@@ -15,6 +15,20 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+#: Three words a run, similarity 0.5, at least 20 words.
+_NEAR = {"size": 3, "threshold": 0.5, "least_words": 20}
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks with nearly the same text."""
+    return neardup.similar_pairs(_read(spark, folder, "rag_chunks"), "id", "content", **_NEAR)
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The groups of such chunks, and which one of each to keep."""
+    return neardup.near_duplicate_groups(_read(spark, folder, "rag_chunks"), "id", "content", **_NEAR)
+
+
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every chunk that is too long for the format of its source."""
     return splitting.split_oversized(_read(spark, folder, "rag_chunks"), _read(spark, folder, "split_limits"))
@@ -46,6 +60,8 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
