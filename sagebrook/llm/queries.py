@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebrook.llm import mixing, neardup, splitting, tokenizer
+from sagebrook.llm import clusters, mixing, neardup, splitting, tokenizer
 from sagebrook.storage import written
 
 
@@ -29,6 +29,20 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(_read(spark, folder, "rag_chunks"), "id", "content", **_NEAR)
 
 
+def _embedded(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {t: _read(spark, folder, t).select("id", "embedding") for t in ("rag_chunks", "graph_entities")}
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records in clusters of at least three similar embeddings."""
+    return clusters.cluster_members(clusters.similar_components(_embedded(spark, folder))[0])
+
+
+def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and typical members of each cluster."""
+    return clusters.describe_clusters(*clusters.similar_components(_embedded(spark, folder)))
+
+
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every chunk that is too long for the format of its source."""
     return splitting.split_oversized(_read(spark, folder, "rag_chunks"), _read(spark, folder, "split_limits"))
@@ -62,6 +76,8 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
