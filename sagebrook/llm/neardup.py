@@ -26,7 +26,7 @@ from sagebrook.operators.components import connected_components
 from sagebrook.storage import semi_join, written
 
 #: Rounds of hashing, buckets a round, registers a band, bits of the mantissa.
-ROUNDS, BUCKETS, ROWS, MANTISSA = 6, 16, 3, 10
+ROUNDS, BUCKETS, ROWS, MANTISSA = 12, 16, 4, 10
 REGISTERS = ROUNDS * BUCKETS
 EMPTY = 0xFFFF
 #: Words whose hashes a worker remembers; the table is emptied when full.
@@ -123,19 +123,25 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
             key = (key << np.uint64(16)) | wide[:, :, k]
         key += np.arange(groups * BUCKETS, dtype=np.uint64).reshape(groups, BUCKETS) << np.uint64(58)
         key = _mix(key + np.arange(groups * BUCKETS, dtype=np.uint64).reshape(groups, BUCKETS) * np.uint64(0x9E3779B97F4A7C15))
-    return key.reshape(len(filled), groups * BUCKETS)
+    return (key.reshape(len(filled), groups * BUCKETS) >> np.uint64(32)).astype(np.uint32)
+
+
+def marks(sketch: np.ndarray) -> np.ndarray:
+    """One byte a register for the estimate: 0 for an empty one, else one of 255 values."""
+    x = sketch.astype(np.uint32) * np.uint32(0x9E3779B1)
+    return np.where(sketch == EMPTY, 0, 1 + (x >> np.uint32(16)) % np.uint32(255)).astype(np.uint8)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of pairs of sketches, corrected for chance.
+    """Jaccard similarity of pairs of marked sketches, corrected for chance.
 
     Of the registers that are filled in either sketch the share that agrees is J + (1 - J) c: two different
-    minima agree with probability c, the sum over the registers' exponents of the squared chance of one
-    code, which is about 2^-MANTISSA / 3 for the geometric exponents.
+    minima agree with probability c.  It has two parts: their codes agree, about 2^-MANTISSA / 3 for the geometric
+    exponents, or different codes have one mark, 1 / 255.
     """
-    filled = (a != EMPTY) | (b != EMPTY)
+    filled = (a != 0) | (b != 0)
     same = ((a == b) & filled).sum(axis=1) / np.maximum(1, filled.sum(axis=1))
-    chance = 2.0**-MANTISSA / 3
+    chance = 2.0**-MANTISSA / 3 + 1 / 255
     return np.clip((same - chance) / (1 - chance), 0.0, 1.0)
 
 
@@ -153,8 +159,8 @@ def _sketch(size: int, least: int):
                     continue
                 sketch = registers(runs, owner, len(kept))
                 keys = band_keys(sketch)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * keys.shape[1]), pa.array(_long(keys.ravel())))
-                codes = pa.array([row.tobytes() for row in sketch], type=pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int32)))
+                codes = pa.array([row.tobytes() for row in marks(sketch)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(_long(whole)), lists, codes], names=["id", "h", "keys", "codes"])
 
     return run
@@ -181,8 +187,8 @@ def _likely(threshold: float, slack: float):
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            filled = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
+            filled = ((a != 0) | (b != 0)).sum(axis=1)
             keep = estimate(a, b) >= threshold - slack * np.sqrt(threshold * (1 - threshold) / np.maximum(1, filled))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
@@ -202,17 +208,17 @@ def similar_texts(docs: DataFrame, key: str = "id", text: str = "content", size:
     """
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    sketches = written(source.mapInArrow(_sketch(size, least_words), f"id {kind}, h long, keys array<long>, codes binary"), "sketches")
+    sketches = written(source.mapInArrow(_sketch(size, least_words), f"id {kind}, h long, keys array<int>, codes binary"), "sketches")
     members = written(sketches.select("id", "h").distinct(), "members")
 
     # Bands: one exchange by key; keys of a single class end here.
-    bands = sketches.select("h", F.explode("keys").alias("k"))
-    shared = bands.groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low < high").select("k", "low", "high", "n")
+    bands = sketches.select("h", F.posexplode("keys").alias("band", "k"))
+    shared = bands.groupBy("band", "k").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "k", "low", "high", "n")
     shared = written(shared, "shared")
     couples = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    crowd = written(semi_join(bands, shared.where("n > 2"), "k", 8).distinct(), "crowd")
-    left, right = crowd.select("k", F.col("h").alias("a")), crowd.select("k", F.col("h").alias("b"))
-    candidates = written(couples.union(left.join(right, "k").where("a < b").select("a", "b")).distinct(), "candidates")
+    crowd = written(semi_join(bands, shared.where("n > 2"), ["band", "k"]).distinct(), "crowd")
+    left, right = crowd.select("band", "k", F.col("h").alias("a")), crowd.select("band", "k", F.col("h").alias("b"))
+    candidates = written(couples.union(left.join(right, ["band", "k"]).where("a < b").select("a", "b")).distinct(), "candidates")
 
     # Registers of the classes that are in a candidate pair.
     wanted = written(candidates.select(F.col("a").alias("h")).union(candidates.select(F.col("b").alias("h"))).distinct(), "wanted")
