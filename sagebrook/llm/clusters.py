@@ -6,7 +6,8 @@ and is left.  In a dense cell the members that are similar enough hang on its sm
 cells share members across the grids and are joined through them, and the smallest label spreads
 until nothing changes.  A cluster's typical members are those of its densest cell.
 
-The grids only choose which pairs are compared; a link needs the similarity itself.  How many
+The grids only choose which pairs are compared; a link needs the similarity itself.
+Where half precision can't tell whether a pair reaches the threshold, it is computed anew in double precision.  How many
 directions a grid has follows from the number of rows, so that a cell holds about as many at every size;
 how many grids there are follows from the chance that one of them parts a pair just at the threshold.
 """
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 
 from sagebrook.llm.vectors import DIM, binary, matrix, rotations, rows_of, runs, tagged, unit
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import small_enough, written
+from sagebrook.storage import semi_join, small_enough, written
 
 #: Width of a cell along a direction; rows that a cell holds about; wanted chance to compare a pair.
-WIDTH, CELL_ROWS, RECALL = 0.36, 1500, 0.985
+WIDTH, CELL_ROWS, RECALL = 0.36, 4000, 0.985
 #: Rows of a block of a cell; cells above it are spread over tasks by pairs of blocks.
-BLOCK = 4096
+BLOCK = 16384
+#: Embeddings travel in half precision; a similarity computed from them is off by less than this.
+DOUBT = 1.2e-3
 #: Share of the cells' rows that one direction leaves together, for unit vectors without structure.
 TOGETHER = 0.45
 
@@ -61,76 +64,100 @@ def _keyed(dims: int, grids: int, with_vectors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, raw = rows_of(batch.column(2))
-            for a in range(0, len(at), 4096):
-                part, x = at[a : a + 4096], unit(raw[a : a + 4096])
+            tabs, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for a in range(0, len(at), 2048):
+                part, x = at[a : a + 2048], unit(raw[a : a + 2048])
                 cells = _cells(x, dims, grids)
-                where = pa.array(np.repeat(part, grids))
-                columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(np.tile(np.arange(grids, dtype=np.int32), len(part))), pa.array(cells.ravel())]
-                names = ["tab", "id", "grid", "cell"]
+                with np.errstate(over="ignore"):
+                    cells = (cells.view(np.uint64) ^ np.arange(grids, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) ^ tabs[part].astype(np.uint64)[:, None] << np.uint64(57)) * np.uint64(0xBF58476D1CE4E5B9)
+                columns = [pa.array(np.repeat(tabs[part], grids)), pa.array(np.repeat(ids[part], grids)), pa.array(cells.view(np.int64).ravel())]
                 if with_vectors:
-                    columns.append(binary(np.repeat(raw[a : a + 4096], grids, axis=0)))
-                    names.append("v")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns.append(binary(np.repeat(x, grids, axis=0), np.float16))
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "id", "cell", "v"][: len(columns)])
 
     return run
 
 
-def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what similar pairs of two blocks connect: every row hangs on the smallest id it reaches."""
+def _merge(low: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels after the components ``p`` and ``q`` of each pair become one."""
+    apart = p != q
+    if not apart.any():
+        return low
+    p, q = p[apart], q[apart]
+    codes = np.unique(np.minimum(p, q) * len(low) + np.maximum(p, q))
+    p, q = codes // len(low), codes % len(low)
+    root = np.arange(len(low))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, q, root[p])
+        np.minimum.at(new, p, root[q])
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root[low]
+        root = new
+
+
+def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, sure) among the rows of a block, or between two.
+
+    Sure links connect all that sure pairs connect: every row hangs on the smallest id it reaches.  Pairs in
+    doubt are given as they are, unless sure links connect them.
+    """
     n = len(ids)
     all_ids = ids if same else np.concatenate([ids, others])
     order = np.argsort(all_ids, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    low = rank.copy()
+    low, doubt = rank.copy(), [np.empty((2, 0), np.int64)]
     for a in range(0, n, 1024):
         near = x[a : a + 1024] @ (x if same else y).T
-        i, j = np.nonzero(near >= floor - 1e-5)
-        close = np.nonzero(near[i, j] < floor + 1e-5)[0]
-        if len(close):
-            exact = (unit(x[a + i[close]]) * unit((x if same else y)[j[close]])).sum(axis=1)
-            keep = np.ones(len(i), bool)
-            keep[close] = np.round(exact, 6) >= floor
-            i, j = i[keep], j[keep]
-        p, q = low[i + a], low[j if same else j + n]
-        apart = p != q
-        if not apart.any():
-            continue
-        p, q = p[apart], q[apart]
-        codes = np.unique(np.minimum(p, q) * len(low) + np.maximum(p, q))
-        p, q = codes // len(low), codes % len(low)
-        root = np.arange(len(low))
-        while True:
-            new = root.copy()
-            np.minimum.at(new, q, root[p])
-            np.minimum.at(new, p, root[q])
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
-        low = root[low]
+        i, j = np.nonzero(near >= floor - DOUBT)
+        sure = near[i, j] >= floor + DOUBT
+        i, j = i + a, j if same else j + n
+        low = _merge(low, low[i[sure]], low[j[sure]])
+        i, j = i[~sure], j[~sure]
+        apart = low[i] != low[j]
+        doubt.append(np.stack([i[apart], j[apart]]))
+    i, j = np.concatenate(doubt, axis=1)
+    apart = (low[i] != low[j]) & ((i < j) | (not same))
     moved = low != rank
-    return all_ids[moved], all_ids[order[low[moved]]]
+    a = np.concatenate([all_ids[moved], all_ids[i[apart]]])
+    b = np.concatenate([all_ids[order[low[moved]]], all_ids[j[apart]]])
+    return a, b, np.arange(len(a)) < moved.sum()
 
 
 def _linked(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (tab, *_), rows in runs(batches, 4):
-            side = np.asarray(rows.column("side"))
+        for (t, *_), rows in runs(batches, 3):
+            left = np.asarray(rows.column("side")) == 0
             ids = np.asarray(rows.column("id"))
-            x = unit(matrix(rows.column("v").combine_chunks())).astype(np.float32)
-            left = side == 0
+            x = matrix(rows.column("v"), kind=np.float16).astype(np.float32)
             if left.all():
                 ids, first = np.unique(ids, return_index=True)
                 if len(ids) < 2:
                     continue
-                a, b = _hang(ids, x[first], ids, x, floor, True)
+                a, b, sure = _hang(ids, x[first], ids, x, floor, True)
+            elif left.any():
+                a, b, sure = _hang(ids[left], x[left], ids[~left], x[~left], floor, False)
             else:
-                if not left.any():
-                    continue
-                a, b = _hang(ids[left], x[left], ids[~left], x[~left], floor, False)
+                continue
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array([tab] * len(a), type=pa.string()), pa.array(a), pa.array(b)], names=["tab", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t, np.int8)), pa.array(a), pa.array(b), pa.array(sure)], names=["t", "a", "b", "sure"])
+
+    return run
+
+
+def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, raw = rows_of(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), binary(raw)], names=["t", "id", "v"])
+
+
+def _exact(floor: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cosine = (unit(matrix(batch.column(3))) * unit(matrix(batch.column(4)))).sum(axis=1) if len(batch) else np.empty(0)
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["t", "a", "b"]).filter(pa.array(np.round(cosine, 6) >= floor))
 
     return run
 
@@ -147,29 +174,40 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
     cell of more than ``block`` rows, such as one third of all rows, is cut into blocks by id, and each
     pair of blocks is a task of its own: nothing is dropped.
     """
-    rows = tagged(tables, key, vector)
+    names = list(tables)
+    number = F.create_map(*(x for n, t in enumerate(names) for x in (F.lit(t), F.lit(n).cast("byte"))))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("t") + 1)
+    rows = tagged(tables, key, vector).select(number[F.col("tab")].alias("t"), "id", "embedding")
     most = max((df.count() for df in tables.values()), default=0)
     dims, grids = grid_shape(most, threshold)
-    keyed = rows.mapInArrow(_keyed(dims, grids, False), "tab string, id long, grid int, cell long")
-    counts = written(keyed.groupBy("tab", "grid", "cell").agg(F.count("*").alias("n")), "counts")
-    crowded = counts.where(F.col("n") > block).select("tab", "grid", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    keyed = rows.mapInArrow(_keyed(dims, grids, False), "t byte, id long, cell long")
+    counts = keyed.groupBy("cell").agg(F.count("*").alias("n"))
+    crowded = written(counts.where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowded")
     crowds = crowded.count()
-    full = rows.mapInArrow(_keyed(dims, grids, True), "tab string, id long, grid int, cell long, v binary")
+    full = rows.mapInArrow(_keyed(dims, grids, True), "t byte, id long, cell long, v binary")
     if crowds:
-        crowded = F.broadcast(crowded) if small_enough(crowds, 32) else crowded
-        full = full.join(crowded, ["tab", "grid", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        # Row of block k: pairs (k, j) for j >= k as left side, (i, k) for i < k as right side.
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own"))).cast("long").alias("pair"), F.when(j >= F.col("own"), 0).otherwise(1).cast("int").alias("side")))
-        full = full.withColumn("own", own).withColumn("p", F.explode(pair)).select("tab", "grid", "cell", F.col("p.pair").alias("pair"), F.col("p.side").alias("side"), "id", "v")
+        crowded = F.broadcast(crowded) if small_enough(crowds, 16) else crowded
+        full = full.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        # A row of block k is the left side of the pairs (k, j) for j >= k and the right side of (j, k) for j < k.
+        code = lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own"))
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(code(j).cast("int").alias("pair"), F.when(j >= F.col("own"), 0).otherwise(1).cast("byte").alias("side")))
+        full = full.withColumn("p", F.explode(pair)).select("t", "cell", F.col("p.pair").alias("pair"), F.col("p.side").alias("side"), "id", "v")
     else:
-        full = full.select("tab", "grid", "cell", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "id", "v")
-    placed = full.repartition("tab", "grid", "cell", "pair").sortWithinPartitions("tab", "grid", "cell", "pair")
-    links = written(placed.mapInArrow(_linked(threshold), "tab string, a long, b long").distinct(), "similar")
-    node = lambda c: F.struct("tab", F.col(c).alias("id"))
-    found = connected_components(links.select(node("a").alias("a"), node("b").alias("b")))
-    labels = written(found.select("id.tab", "id.id", F.col("component.id").alias("cluster_id")), "labels")
-    return labels, keyed.where("grid = 0").select("tab", "id", "cell")
+        full = full.select("t", "cell", F.lit(0).alias("pair"), F.lit(0).cast("byte").alias("side"), "id", "v")
+    placed = full.repartition("t", "cell", "pair").sortWithinPartitions("t", "cell", "pair")
+    links = written(placed.mapInArrow(_linked(threshold), "t byte, a long, b long, sure boolean").distinct(), "similar")
+    sure, doubt = links.where("sure").select("t", "a", "b"), links.where("NOT sure").select("t", "a", "b")
+    if doubt.limit(1).count():
+        ends = written(doubt.select("t", F.col("a").alias("id")).union(doubt.select("t", F.col("b").alias("id"))).distinct(), "ends")
+        exact = semi_join(rows, ends, ["t", "id"]).mapInArrow(_raw, "t byte, id long, v binary").groupBy("t", "id").agg(F.first("v").alias("v"))
+        met = doubt.join(exact.select("t", F.col("id").alias("a"), F.col("v").alias("x")), ["t", "a"]).join(exact.select("t", F.col("id").alias("b"), F.col("v").alias("y")), ["t", "b"])
+        sure = sure.union(met.select("t", "a", "b", "x", "y").mapInArrow(_exact(threshold), "t byte, a long, b long"))
+    node = lambda c: F.struct("t", F.col(c).alias("id"))
+    found = connected_components(sure.select(node("a").alias("a"), node("b").alias("b")))
+    labels = written(found.select(F.col("id.t").alias("t"), F.col("id.id").alias("id"), F.col("component.id").alias("cluster_id")).select(name.alias("tab"), "id", "cluster_id"), "labels")
+    first = rows.mapInArrow(_keyed(dims, 1, False), "t byte, id long, cell long")
+    return labels, first.select(name.alias("tab"), "id", "cell")
 
 
 def cluster_members(labels: DataFrame, least: int = 3) -> DataFrame:

@@ -38,19 +38,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def binary(x: np.ndarray) -> pa.Array:
-    """Rows of a float32 matrix as binaries."""
-    x = np.ascontiguousarray(x, np.float32)
-    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * 4)
+def binary(x: np.ndarray, kind: type = np.float32) -> pa.Array:
+    """Rows of a matrix as binaries of numbers of a kind."""
+    x = np.ascontiguousarray(x, kind)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x.tobytes())])
 
 
-def matrix(column: pa.Array, dim: int = DIM) -> np.ndarray:
-    """Float32 matrix of binaries without nulls."""
+def matrix(column: pa.Array, dim: int = DIM, kind: type = np.float32) -> np.ndarray:
+    """Matrix of binaries without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     if not len(column):
-        return np.empty((0, dim), np.float32)
+        return np.empty((0, dim), kind)
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, dim)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, dim)
 
 
 def rotations(count: int, dims: int, dim: int = DIM, seed: int = 29) -> np.ndarray:
