@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebrook.llm import clusters, mixing, neardup, splitting, tokenizer
+from sagebrook.llm import clusters, mixing, neardup, neighbours, splitting, tokenizer
 from sagebrook.storage import written
 
 
@@ -43,6 +43,16 @@ def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe_clusters(*clusters.similar_components(_embedded(spark, folder)))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of embeddings of which one is among the five most similar of the other, at 0.9 or more."""
+    return neighbours.neighbour_pairs(neighbours.nearest(_embedded(spark, folder), 5, 0.9))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The up to five most similar embeddings of each, at 0.9 or more, in order."""
+    return neighbours.nearest(_embedded(spark, folder), 5, 0.9)
+
+
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every chunk that is too long for the format of its source."""
     return splitting.split_oversized(_read(spark, folder, "rag_chunks"), _read(spark, folder, "split_limits"))
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
