@@ -28,6 +28,8 @@ from sagebrook.storage import semi_join, written
 #: Rounds of hashing, buckets a round, registers a band, bits of the mantissa.
 ROUNDS, BUCKETS, ROWS, MANTISSA = 12, 16, 4, 10
 REGISTERS = ROUNDS * BUCKETS
+#: Registers of the first rounds, by which candidates are estimated.
+MARKED = 6 * BUCKETS
 EMPTY = 0xFFFF
 #: Words whose hashes a worker remembers; the table is emptied when full.
 REMEMBERED = 500_000
@@ -160,7 +162,7 @@ def _sketch(size: int, least: int):
                 sketch = registers(runs, owner, len(kept))
                 keys = band_keys(sketch)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int32)))
-                codes = pa.array([row.tobytes() for row in marks(sketch)], type=pa.binary())
+                codes = pa.array([row.tobytes() for row in marks(sketch[:, :MARKED])], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(_long(whole)), lists, codes], names=["id", "h", "keys", "codes"])
 
     return run
@@ -187,7 +189,7 @@ def _likely(threshold: float, slack: float):
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MARKED) for k in (2, 3))
             filled = ((a != 0) | (b != 0)).sum(axis=1)
             keep = estimate(a, b) >= threshold - slack * np.sqrt(threshold * (1 - threshold) / np.maximum(1, filled))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
@@ -212,13 +214,13 @@ def similar_texts(docs: DataFrame, key: str = "id", text: str = "content", size:
     members = written(sketches.select("id", "h").distinct(), "members")
 
     # Bands: one exchange by key; keys of a single class end here.
-    bands = sketches.select("h", F.posexplode("keys").alias("band", "k"))
-    shared = bands.groupBy("band", "k").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "k", "low", "high", "n")
+    bands = sketches.select("h", F.posexplode("keys").alias("band", "part")).select("h", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("part")).alias("k"))
+    shared = bands.groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low < high").select("k", "low", "high", "n")
     shared = written(shared, "shared")
     couples = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    crowd = written(semi_join(bands, shared.where("n > 2"), ["band", "k"]).distinct(), "crowd")
-    left, right = crowd.select("band", "k", F.col("h").alias("a")), crowd.select("band", "k", F.col("h").alias("b"))
-    candidates = written(couples.union(left.join(right, ["band", "k"]).where("a < b").select("a", "b")).distinct(), "candidates")
+    crowd = written(semi_join(bands, shared.where("n > 2"), "k", 8).distinct(), "crowd")
+    left, right = crowd.select("k", F.col("h").alias("a")), crowd.select("k", F.col("h").alias("b"))
+    candidates = written(couples.union(left.join(right, "k").where("a < b").select("a", "b")).distinct(), "candidates")
 
     # Registers of the classes that are in a candidate pair.
     wanted = written(candidates.select(F.col("a").alias("h")).union(candidates.select(F.col("b").alias("h"))).distinct(), "wanted")
