@@ -6,10 +6,10 @@ and is left.  In a dense cell the members that are similar enough hang on its sm
 cells share members across the grids and are joined through them, and the smallest label spreads
 until nothing changes.  A cluster's typical members are those of its densest cell.
 
-The grids only choose which pairs are compared; a link needs the similarity itself.
-Where half precision can't tell whether a pair reaches the threshold, it is computed anew in double precision.  How many
-directions a grid has follows from the number of rows, so that a cell holds about as many at every size;
-how many grids there are follows from the chance that one of them parts a pair just at the threshold.
+The grids only choose which pairs are compared; a link needs the similarity itself.  Where half precision
+can't tell whether a pair reaches the threshold, it is computed anew in double precision.  How many
+directions a grid has follows from the number of rows, so that a cell's rows grow with its square root; how
+many grids there are follows from the chance that one of them parts a pair just at the threshold.
 """
 
 from __future__ import annotations
@@ -26,28 +26,30 @@ from sagebrook.llm.vectors import DIM, binary, matrix, rotations, rows_of, runs,
 from sagebrook.operators.components import connected_components
 from sagebrook.storage import semi_join, small_enough, written
 
-#: Width of a cell along a direction; rows that a cell holds about; wanted chance to compare a pair.
-WIDTH, CELL_ROWS, RECALL = 0.36, 4000, 0.985
+#: Width of a cell along a direction, and how far its edge may lie from the middle of unit vectors.
+WIDTH, SHIFT = 0.5, 0.09
+#: Wanted chance to compare a pair at the threshold; a cell holds about this times the root of the rows.
+RECALL, CELL_ROWS = 0.985, 6.0
 #: Rows of a block of a cell; cells above it are spread over tasks by pairs of blocks.
 BLOCK = 16384
 #: Embeddings travel in half precision; a similarity computed from them is off by less than this.
 DOUBT = 1.2e-3
-#: Share of the cells' rows that one direction leaves together, for unit vectors without structure.
-TOGETHER = 0.45
+#: Share of the rows that one direction leaves together, and density at an edge, for unit vectors without structure.
+TOGETHER, DENSITY = 0.53, 2.9
 
 
 def grid_shape(rows: int, threshold: float) -> tuple[int, int]:
     """(directions, grids) for a number of rows."""
-    dims = max(4, min(24, math.ceil(math.log(max(1.0, rows / CELL_ROWS)) / -math.log(TOGETHER))))
+    dims = max(3, min(24, round(math.log(max(1.0, math.sqrt(rows) / CELL_ROWS)) / -math.log(TOGETHER))))
     apart = math.sqrt(2 * (1 - threshold) / DIM) * math.sqrt(2 / math.pi)
-    stay = (1 - min(0.9, apart / WIDTH)) ** dims
-    return dims, max(3, min(16, math.ceil(math.log(1 - RECALL) / math.log(1 - stay))))
+    stay = (1 - min(0.9, apart * DENSITY)) ** dims
+    return dims, max(3, min(32, math.ceil(math.log(1 - RECALL) / math.log(1 - stay))))
 
 
 def _cells(x: np.ndarray, dims: int, grids: int) -> np.ndarray:
     """Cell of every row in every grid (rows x grids)."""
     turned = rotations(grids, dims)
-    shift = np.random.default_rng(7).uniform(0, WIDTH, (grids, dims))
+    shift = np.random.default_rng(7).uniform(-SHIFT, SHIFT, (grids, dims))
     out = np.empty((len(x), grids), np.int64)
     for g in range(grids):
         code = np.floor((x @ turned[g] + shift[g]) / WIDTH).astype(np.int64) + 16
