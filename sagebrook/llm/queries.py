@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebrook.llm import clusters, mixing, neardup, neighbours, splitting, tokenizer
+from sagebrook.llm import clusters, mixing, names, neardup, neighbours, splitting, tokenizer
 from sagebrook.storage import written
 
 
@@ -53,6 +53,16 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(_embedded(spark, folder), 5, 0.9)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entities whose names mean the same person or organisation."""
+    return names.name_pairs(_read(spark, folder, "graph_entities"), _read(spark, folder, "name_forms"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every person and organisation."""
+    return names.name_groups(_read(spark, folder, "graph_entities"), _read(spark, folder, "name_forms"))
+
+
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every chunk that is too long for the format of its source."""
     return splitting.split_oversized(_read(spark, folder, "rag_chunks"), _read(spark, folder, "split_limits"))
@@ -90,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_clusters": p2_clusters,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
