@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebrook.llm import clusters, mixing, names, neardup, neighbours, splitting, tokenizer
+from sagebrook.llm import clusters, mixing, names, neardup, neighbours, quality, splitting, tokenizer
 from sagebrook.storage import written
 
 
@@ -93,6 +93,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and kind of every document."""
+    return quality.text_kinds(_read(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are lists, tables or junk."""
+    return p9_stats(spark, folder).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -107,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_stats": p9_stats,
 }
 
 ORACLE: dict[str, str] = {
