@@ -76,9 +76,15 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
     return ids.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def communities(labels: DataFrame, level: int = 0) -> DataFrame:
-    """(id, level, entity_ids) of labels; the label is the id."""
-    return labels.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("entity_ids")).select(F.col("label").alias("id"), F.lit(level).alias("level"), "entity_ids")
+def communities(labels: DataFrame, level: int = 0, most: int = 1_000_000) -> DataFrame:
+    """(id, level, part, entity_ids) of labels; the label is the id.
+
+    A community of more than ``most`` members has several rows, numbered by ``part``, so that no array and no task holds
+    a community that grows with the graph.
+    """
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    placed = labels.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return placed.groupBy("label", "part").agg(F.array_sort(F.collect_list("id")).alias("entity_ids")).select(F.col("label").alias("id"), F.lit(level).alias("level"), "part", "entity_ids")
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, levels: int = 1, **options) -> DataFrame:

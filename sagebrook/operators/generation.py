@@ -54,7 +54,7 @@ def embed_query(df: DataFrame, function: Embed) -> DataFrame:
 def put_results(df: DataFrame, key: str, results: DataFrame) -> DataFrame:
     """Results of (qid, position, RESULT fields...) under a key of ``retrieval_results``; queries without any have an empty list."""
     fields = [f.name for f in RESULT.fields]
-    rows = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*(F.col(c).cast(RESULT[c].dataType).alias(c) for c in fields)).alias("r")))).alias("x"))
+    rows = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*(F.col(c).cast(RESULT[c].dataType).alias(c) for c in fields)).alias("r"))), lambda a, b: (a["position"] - b["position"]).cast("int")).alias("x"))
     joined = df.join(rows.select("qid", F.transform("x", lambda p: p["r"]).alias("__found")), "qid", "left")
     kind = GENERATION["retrieval_results"].dataType
     entry = F.create_map(F.lit(key), F.coalesce("__found", F.array().cast(kind.valueType))).cast(kind)
