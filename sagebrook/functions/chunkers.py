@@ -311,36 +311,40 @@ class FormatAware(Chunker):
         size = (lambda s: ruler.size(s)) if self.size_fn is None else (lambda s: self.size_fn(text[s[0] : s[1]]))
         if not text:
             return [(0, 0, {"format": self.format})]
-        atoms = self._atoms(text, (0, len(text)), 0, size)
-        out, k = [], 0
-        while k < len(atoms):
-            end = k + 1
-            while end < len(atoms) and size((atoms[k][0], atoms[end][1])) <= self.chunk_size:
-                end += 1
-            out.append((atoms[k][0], atoms[end - 1][1], {"format": self.format}))
-            if end == len(atoms):
-                break
-            back = end
-            while back - 1 > k and size((atoms[back - 1][0], atoms[end - 1][1])) <= self.chunk_overlap and size((atoms[back - 1][0], atoms[end][1])) <= self.chunk_size:
-                back -= 1
-            k = back
-        return out
+        return [(a, b, {"format": self.format}) for a, b in self._split(text, (0, len(text)), 0, size)]
 
-    def _atoms(self, text: str, span: Span, level: int, size) -> list[Span]:
-        if size(span) <= self.chunk_size // 4 or (size(span) <= self.chunk_size and level >= 3):
+    def _split(self, text: str, span: Span, level: int, size: Callable[[Span], int]) -> list[Span]:
+        """Pieces of a span: its parts at this level packed up to the size, oversized parts by the next level."""
+        if size(span) <= self.chunk_size:
             return [span]
         separators = FORMATS[self.format]
+        start, end = span
         if level == len(separators):
-            if size(span) <= self.chunk_size:
-                return [span]
-            a, b = span
-            step, out = self.chunk_size, []
-            while a < b:
-                end = min(b, a + step)
-                while end > a + 1 and size((a, end)) > self.chunk_size:
-                    end -= 1
-                out.append((a, end))
-                a = end
+            out = []
+            while start < end:
+                stop = min(end, start + self.chunk_size)
+                while stop > start + 1 and size((start, stop)) > self.chunk_size:
+                    stop -= 1
+                while stop < end and size((start, stop + 1)) <= self.chunk_size:
+                    stop += 1
+                out.append((start, stop))
+                start = stop
             return out
-        cuts = sorted({span[0], *(span[0] + m.end() for m in re.finditer(separators[level], text[span[0] : span[1]]) if 0 < m.end() < span[1] - span[0]), span[1]})
-        return [s for a, b in zip(cuts, cuts[1:]) for s in self._atoms(text, (a, b), level + 1, size)]
+        inner = (start + m.end() for m in re.finditer(separators[level], text[start:end]))
+        cuts = [start, *(c for c in inner if start < c < end), end]
+        out, held = [], []
+        for part in zip(cuts, cuts[1:]):
+            if size(part) > self.chunk_size:
+                if held:
+                    out.append((held[0][0], held[-1][1]))
+                    held = []
+                out += self._split(text, part, level + 1, size)
+                continue
+            if held and size((held[0][0], part[1])) > self.chunk_size:
+                out.append((held[0][0], held[-1][1]))
+                while held and (size((held[0][0], held[-1][1])) > self.chunk_overlap or size((held[0][0], part[1])) > self.chunk_size):
+                    held.pop(0)
+            held.append(part)
+        if held:
+            out.append((held[0][0], held[-1][1]))
+        return out
