@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 class _Breaker(StatefulProcessor):
@@ -17,23 +17,24 @@ class _Breaker(StatefulProcessor):
         self.limit, self.rest_ms = limit, rest_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("failures", StructType.fromDDL("failures int, since long"))
+        self.state = handle.getValueState("failures", StructType([StructField("failures", IntegerType()), StructField("since", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failures, since = self.state.get() if self.state.exists() else (0, -1)
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            now = int(pd.Timestamp(row.ts).value // 1_000_000)
-            if since >= 0 and now - since >= self.rest_ms:
-                failures, since = 0, -1
-            failures = failures + 1 if row.failed else 0
-            if failures >= self.limit and since < 0:
-                since = now
-            if not row.failed:
-                since = -1
-            out.append((key[0], row.event_id, failures, since >= 0))
+        for part in rows:  # one Arrow batch at a time, in order of arrival; within a batch by time
+            out = []
+            for row in part.sort_values(["ts", "event_id"]).itertuples():
+                now = int(pd.Timestamp(row.ts).value // 1_000_000)
+                if since >= 0 and now - since >= self.rest_ms:
+                    failures, since = 0, -1
+                failures = failures + 1 if row.failed else 0
+                if failures >= self.limit and since < 0:
+                    since = now
+                if not row.failed:
+                    since = -1
+                out.append((key[0], row.event_id, failures, since >= 0))
+            yield pd.DataFrame(out, columns=["provider", "event_id", "streak", "open"])
         self.state.update((failures, since))
-        yield pd.DataFrame(out, columns=["provider", "event_id", "streak", "open"])
 
     def close(self) -> None:
         pass
