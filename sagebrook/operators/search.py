@@ -27,14 +27,18 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>"))) if "metadata" in df.columns else df
 
 
-def semantic(chunks: DataFrame, query: list[float], limit: int = 10, where: Column | None = None, score: str = "clamped", min_similarity: float | None = None, key: str = "id", vector: str = "embedding") -> DataFrame:
+def semantic(chunks: DataFrame, query: list[float], limit: int = 10, where: Column | None = None, score: str = "clamped", min_similarity: float | None = None, key: str = "id", vector: str = "embedding", wide: bool = False) -> DataFrame:
     """The nearest rows by Euclidean distance with ``distance`` and ``score``; ties by key.
 
+    ``wide`` computes distances with NumPy in Arrow batches, which pays for several hundred dimensions; else they are
+    built-in expressions.
+
     ``where`` filters before the top-k.  ``score`` is ``clamped`` (max(0, 1 - d)) or ``decaying`` (1 / (1 + d)).
     Rows whose vector is null or of another size are left out.
     """
     df = chunks if where is None else chunks.where(where)
-    df = df.withColumn("distance", V.l2(F.col(vector), V.literal(query))).where("distance IS NOT NULL AND NOT isnan(distance)")
+    distance = V.l2_to(query)(F.col(vector)) if wide else V.l2(F.col(vector), V.literal(query))
+    df = df.withColumn("distance", distance).where("distance IS NOT NULL AND NOT isnan(distance)")
     df = df.withColumn("score", V.clamped_score(F.col("distance")) if score == "clamped" else V.decaying_score(F.col("distance")))
     if min_similarity is not None:
         df = df.where(F.col("score") >= min_similarity)

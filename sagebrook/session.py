@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import io
+import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from sagebrook.storage import shared_folder
+
 #: Settings for a large cluster; a session given by the caller is never altered.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,7 +34,15 @@ def ship(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers; once a session."""
     if not getattr(spark, "_sagebrook_shipped", False):
         root = Path(__file__).resolve().parent
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="sagebrook-")) / "sagebrook"), "zip", root.parent, root.name)
-        spark.sparkContext.addPyFile(archive)
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        jvm, name = spark.sparkContext._jvm, f"{shared_folder(spark)}/sagebrook-{uuid.uuid4().hex}.zip"
+        target = jvm.org.apache.hadoop.fs.Path(name)
+        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+        spark.sparkContext.addPyFile(name)
         spark._sagebrook_shipped = True
     return spark
