@@ -95,21 +95,41 @@ def read_person(name: str, short: dict[str, str], given: frozenset[str]) -> list
                     out.append((a, s))
         if rest and len(long_) > 1 and any(w in short or len(w) > 2 for w in rest):
             out.append(("".join(long_), next(w for w in rest if w in short or len(w) > 2)))
+    # A particle may be glued to the family name.
+    out += [(a[len(p) :], s) for a, s in out for p in ("van", "de") if a.startswith(p) and len(a) - len(p) >= 6]
     return list(dict.fromkeys(out))
 
 
+def _known(word: str) -> str | None:
+    """The line of business that a word means, by its short forms and with one slip; "" for a legal form."""
+    if word in LEGAL:
+        return ""
+    found = _SHORT.get(word) or _SHORT.get(word.removesuffix("s"))
+    if found or len(word) < 6:
+        return found
+    for line in BUSINESS:
+        if line[0] == word[0] or line[1:3] == word[1:3]:
+            if same_anchor(word, line):
+                return line
+    return "" if any(len(w) >= 7 and same_anchor(word, w) for w in LEGAL) else None
+
+
 def read_organisation(name: str) -> list[tuple[str, str]]:
-    """The reading (leading word, lines of business) of an organisation's name; a trailing ``~`` marks a casual form."""
+    """Readings (leading word, lines of business) of an organisation's name; a trailing ``~`` marks a casual form.
+
+    There are several where a short form is glued to the leading word.
+    """
     text = re.sub(r"\([^)]*\)", " ", fold(name).replace("&", " and "))
     words = [_squash(w) for w in re.split(r"[\s,/]+", text)]
+    words = [w for w in words if w]
     casual = any(w in ("team", "hq") for w in words)
     core, lines = [], []
-    for w in words:
-        if not w or w in LEGAL:
-            continue
-        known = _SHORT.get(w) or _SHORT.get(w.removesuffix("s"))
-        if known:
-            lines.append(known)
+    for n, w in enumerate(words):
+        known = _known(w)
+        if known is None and n + 1 < len(words) and words[n + 1] == "of":
+            known = "university"
+        if known is not None:
+            lines += [known] if known else []
             continue
         stripped = True
         while stripped:
@@ -122,9 +142,22 @@ def read_organisation(name: str) -> list[tuple[str, str]]:
                     break
         if w not in PARTICLES or len(words) == 1:
             core.append(w)
+    if any(len(w) >= 5 for w in core):
+        core = [w for w in core if len(w) > 3]
     if not core:
         return []
-    return [("".join(core), "+".join(sorted(set(lines))) + ("~" if casual else ""))]
+    mark = "~" if casual else ""
+    whole = "".join(core)
+    out = [(whole, "+".join(sorted(set(lines))) + mark)]
+    for part, more in ((whole, lines), *((whole[len(p) :], lines) for p in ("van", "de") if whole.startswith(p) and len(whole) - len(p) >= 6)):
+        if part != whole:
+            out.append((part, "+".join(sorted(set(more))) + mark))
+        if not more or casual:
+            for short, line in _SHORT.items():
+                for end in (short, short + "s"):
+                    if len(part) - len(end) >= 6 and part.endswith(end):
+                        out.append((part[: -len(end)], "+".join(sorted({*more, line})) + mark))
+    return list(dict.fromkeys(out))
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -243,16 +276,14 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     near = keyed.join(right, "key").where((F.col("form") < F.col("other")) & (F.levenshtein("a", "b", 4) >= 0))
     met = near.select("form", "other", "kind", "a", "b", "s", "t").distinct()
     agreed = written(met.mapInArrow(_agree(short), "form long, other long, kind string, s string, t string"), "agreed")
-    # A mere initial that meets several given names says nothing.
-    full = F.create_map(*(x for k, v in sorted(short.items()) for x in (F.lit(k), F.lit(v)))) if short else None
-    whole = lambda c: F.substring(F.coalesce(F.try_element_at(full, F.col(c)), F.col(c)) if short else F.col(c), 1, 3)
-    one = agreed.where("kind = 'p' AND length(s) = 1 AND length(t) > 1").select("form", whole("t").alias("g"))
-    two = agreed.where("kind = 'p' AND length(t) = 1 AND length(s) > 1").select(F.col("other").alias("form"), whole("s").alias("g"))
-    vague = written(one.union(two).groupBy("form").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("form"), "vague")
-    mere = agreed.where("kind = 'p' AND length(s) = 1 AND length(t) > 1").join(vague, "form", "left_anti").select("form", "other")
-    mere2 = agreed.where("kind = 'p' AND length(t) = 1 AND length(s) > 1").join(vague.select(F.col("form").alias("other")), "other", "left_anti").select("form", "other")
-    clear = agreed.where("kind = 'o' OR (length(s) = 1) = (length(t) = 1)").select("form", "other")
-    links = written(clear.union(mere).union(mere2).select(F.col("form").alias("a"), F.col("other").alias("b")).distinct(), "links")
+    # A mere initial that meets several people, apart by all that is clear, says nothing.
+    clear = written(agreed.where("kind = 'o' OR (length(s) = 1) = (length(t) = 1)").select(F.col("form").alias("a"), F.col("other").alias("b")).distinct(), "clear")
+    people = connected_components(clear).select(F.col("id").alias("b"), "component")
+    one = agreed.where("kind = 'p' AND length(s) = 1 AND length(t) > 1").select(F.col("form").alias("a"), F.col("other").alias("b"), F.col("t").alias("g"))
+    two = agreed.where("kind = 'p' AND length(t) = 1 AND length(s) > 1").select(F.col("other").alias("a"), F.col("form").alias("b"), F.col("s").alias("g"))
+    mere = written(one.union(two).distinct().join(people, "b", "left").select("a", "b", F.coalesce("component", "b").alias("person"), F.substring("g", 1, 2).alias("g")), "mere")
+    vague = mere.groupBy("a").agg(F.min("person").alias("x"), F.max("person").alias("y"), F.min("g").alias("v"), F.max("g").alias("w")).where("x <> y AND v <> w").select("a")
+    links = written(clear.union(mere.join(vague, "a", "left_anti").select("a", "b")).distinct(), "links")
     return members.select("id", "kind", "form"), links
 
 
