@@ -99,6 +99,20 @@ def _merge(low: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _crowd(z: np.ndarray, low: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after joining what a few leaders reach, and which rows lie outside of the largest component.
+
+    Pairs within one component need no look: a crowd of similar rows costs a comparison with its leader and with the
+    rows outside, not with itself.
+    """
+    some = np.unique(np.linspace(0, len(z) - 1, 64).astype(int))
+    density = (z[some] @ z[some].T >= floor + DOUBT).sum(axis=1)
+    for k in some[np.argsort(-density, kind="stable")[:6]]:
+        hit = z @ z[k] >= floor + DOUBT
+        low = _merge(low, low[hit], np.full(hit.sum(), low[k]))
+    return low, low != np.bincount(low).argmax()
+
+
 def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b, sure) among the rows of a block, or between two.
 
@@ -106,22 +120,30 @@ def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, flo
     doubt are given as they are, unless sure links connect them.
     """
     n = len(ids)
-    all_ids = ids if same else np.concatenate([ids, others])
+    all_ids, z = (ids, x) if same else (np.concatenate([ids, others]), np.concatenate([x, y]))
     order = np.argsort(all_ids, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    low, doubt = rank.copy(), [np.empty((2, 0), np.int64)]
-    for a in range(0, n, 1024):
-        near = x[a : a + 1024] @ (x if same else y).T
-        i, j = np.nonzero(near >= floor - DOUBT)
-        sure = near[i, j] >= floor + DOUBT
-        i, j = i + a, j if same else j + n
-        low = _merge(low, low[i[sure]], low[j[sure]])
-        i, j = i[~sure], j[~sure]
-        apart = low[i] != low[j]
-        doubt.append(np.stack([i[apart], j[apart]]))
+    low, outside = rank.copy(), np.ones(len(z), bool)
+    if len(z) > 512:
+        low, outside = _crowd(z, low, floor)
+    at = np.arange(len(z))
+    left = at < n
+    looks = [(at[outside], at)] if same else [(at[left & outside], at[~left]), (at[left & ~outside], at[~left & outside])]
+    doubt = [np.empty((2, 0), np.int64)]
+    for rows, columns in looks:
+        for a in range(0, len(rows) if len(columns) else 0, 1024):
+            part = rows[a : a + 1024]
+            near = z[part] @ z[columns].T
+            i, j = np.nonzero(near >= floor - DOUBT)
+            sure = near[i, j] >= floor + DOUBT
+            i, j = part[i], columns[j]
+            low = _merge(low, low[i[sure]], low[j[sure]])
+            i, j = i[~sure], j[~sure]
+            apart = low[i] != low[j]
+            doubt.append(np.stack([i[apart], j[apart]]))
     i, j = np.concatenate(doubt, axis=1)
-    apart = (low[i] != low[j]) & ((i < j) | (not same))
+    apart = low[i] != low[j]
     moved = low != rank
     a = np.concatenate([all_ids[moved], all_ids[i[apart]]])
     b = np.concatenate([all_ids[order[low[moved]]], all_ids[j[apart]]])
