@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagebrook.llm.vectors import DIM, binary, matrix, rotations, rows_of, runs, tagged, unit
+from sagebrook.llm.vectors import DIM, binary, matrix, rotations, rows_of, runs, surplus_copies, tagged, unit
 from sagebrook.operators.components import connected_components
 from sagebrook.storage import semi_join, small_enough, written
 
@@ -32,6 +32,8 @@ WIDTH, SHIFT = 0.5, 0.09
 RECALL, CELL_ROWS = 0.985, 6.0
 #: Rows of a block of a cell; cells above it are spread over tasks by pairs of blocks.
 BLOCK = 16384
+#: Rows that share one embedding above which all but one are linked to it directly and stay out of the grids.
+COPIES = 32
 #: Embeddings travel in half precision; a similarity computed from them is off by less than this.
 DOUBT = 1.2e-3
 #: Share of the rows that one direction leaves together, and density at an edge, for unit vectors without structure.
@@ -194,7 +196,8 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
     precision, rounded to 6 decimals.
 
     Rows that share an id are one record; unusable embeddings (null, wrong length, not finite, all zero) and null ids are
-    left out; equal embeddings have similarity 1; empty tables give no rows; extra columns are not read.  A
+    left out; equal embeddings have similarity 1, and many of them
+    cost as much as one; empty tables give no rows; extra columns are not read.  A
     cell of more than ``block`` rows, such as one third of all rows, is cut into blocks by id, and each
     pair of blocks is a task of its own: nothing is dropped.
     """
@@ -202,6 +205,9 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
     number = F.create_map(*(x for n, t in enumerate(names) for x in (F.lit(t), F.lit(n).cast("byte"))))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("t") + 1)
     rows = tagged(tables, key, vector).select(number[F.col("tab")].alias("t"), "id", "embedding")
+    every, copies = rows, surplus_copies(rows, 1, COPIES)
+    if copies is not None:
+        rows = rows.join(copies[0].select("t", "id"), ["t", "id"], "left_anti")
     most = max((df.count() for df in tables.values()), default=0)
     dims, grids = grid_shape(most, threshold)
     keyed = rows.mapInArrow(_keyed(dims, grids, False), "t byte, id long, cell long")
@@ -227,10 +233,13 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
         exact = semi_join(rows, ends, ["t", "id"]).mapInArrow(_raw, "t byte, id long, v binary").groupBy("t", "id").agg(F.first("v").alias("v"))
         met = doubt.join(exact.select("t", F.col("id").alias("a"), F.col("v").alias("x")), ["t", "a"]).join(exact.select("t", F.col("id").alias("b"), F.col("v").alias("y")), ["t", "b"])
         sure = sure.union(met.select("t", "a", "b", "x", "y").mapInArrow(_exact(threshold), "t byte, a long, b long"))
+    if copies is not None:
+        heads = copies[1].where("r = 1").select("t", "h", F.col("id").alias("b"))
+        sure = sure.union(copies[0].join(heads, ["t", "h"]).select("t", F.col("id").alias("a"), "b"))
     node = lambda c: F.struct("t", F.col(c).alias("id"))
     found = connected_components(sure.select(node("a").alias("a"), node("b").alias("b")))
     labels = written(found.select(F.col("id.t").alias("t"), F.col("id.id").alias("id"), F.col("component.id").alias("cluster_id")).select(name.alias("tab"), "id", "cluster_id"), "labels")
-    first = rows.mapInArrow(_keyed(dims, 1, False), "t byte, id long, cell long")
+    first = every.mapInArrow(_keyed(dims, 1, False), "t byte, id long, cell long")
     return labels, first.select(name.alias("tab"), "id", "cell")
 
 

@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagebrook.llm.vectors import binary, matrix, rotations, rows_of, runs, tagged, unit
-from sagebrook.storage import semi_join, written
+from sagebrook.llm.vectors import binary, matrix, rotations, rows_of, runs, surplus_copies, tagged, unit
 
 #: Orderings, directions of a curve, bits a direction.
 ORDERINGS, DIRECTIONS, BITS = 5, 6, 8
@@ -140,13 +139,6 @@ def _windows(k: int, floor: float):
     return run
 
 
-def _smallest(df: DataFrame, by: list[str], n: int) -> DataFrame:
-    """The ``n`` smallest ids of each group, in two steps: no task sees a whole group."""
-    part = F.pmod(F.xxhash64("id"), F.lit(64))
-    first = df.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(*by, "part").orderBy("id"))).where(F.col("r") <= n)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= n).drop("part")
-
-
 def nearest(tables: dict[str, DataFrame], k: int = 5, floor: float = -1.0, key: str = "id", vector: str = "embedding", orderings: int = ORDERINGS) -> DataFrame:
     """(tab, id, rank, neighbour, similarity): the up to ``k`` most similar records of the same table.
 
@@ -162,16 +154,11 @@ def nearest(tables: dict[str, DataFrame], k: int = 5, floor: float = -1.0, key:
     number = F.create_map(*(x for n, t in enumerate(names) for x in (F.lit(t), F.lit(n).cast("byte"))))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("t") + 1)
     rows = tagged(tables, key, vector).select(number[F.col("tab")].alias("t"), "id", "embedding").where(F.size("embedding") > 0)
-    hashed = rows.select("t", "id", F.xxhash64("embedding").alias("h"))
-    crowd = written(hashed.groupBy("t", "h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("t", "h"), "crowd")
-    surplus = None
-    if crowd.limit(1).count():
-        many = written(semi_join(hashed, crowd, ["t", "h"]).distinct(), "many")
-        few = written(_smallest(many, ["t", "h"], k + 1), "few")
-        surplus = written(many.join(few.select("t", "h", "id"), ["t", "h", "id"], "left_anti"), "surplus")
-        usable = semi_join(rows, few.where("r = 1"), ["t", "id"]).mapInArrow(_usable, "t byte, id long").distinct()
-        heads = few.join(usable.join(few.where("r = 1").select("t", "h", "id"), ["t", "id"]).select("t", "h"), ["t", "h"]).where(F.col("r") <= k)
-        same = surplus.join(heads.select("t", "h", F.col("id").alias("other")), ["t", "h"]).select("t", "id", F.lit(-1.0).alias("away"), "other")
+    copies = surplus_copies(rows, k + 1, k + 1)
+    if copies is not None:
+        surplus, kept = copies
+        heads = kept.where(F.col("r") <= k).select("t", "h", F.col("id").alias("other"))
+        same = surplus.join(heads, ["t", "h"]).select("t", "id", "other")
         rows = rows.join(surplus.select("t", "id"), ["t", "id"], "left_anti")
     n = max(1, sum(df.count() for df in tables.values()) * orderings // RANGE_ROWS)
     parts = max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -180,19 +167,13 @@ def nearest(tables: dict[str, DataFrame], k: int = 5, floor: float = -1.0, key:
     # At most orderings * k candidates a record.
     merged = found.groupBy("t", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     ranked = merged.select("t", "id", F.posexplode("near").alias("rank", "n")).select("t", "id", (F.col("rank") + 1).alias("rank"), F.col("n.other").alias("neighbour"), (-F.col("n.away")).alias("similarity"))
-    if surplus is not None:
+    if copies is not None:
         w = Window.partitionBy("t", "id").orderBy("other")
         rest = same.where(F.lit(1.0) >= floor).withColumn("rank", F.row_number().over(w)).select("t", "id", "rank", F.col("other").alias("neighbour"), F.lit(1.0).alias("similarity"))
         ranked = ranked.unionByName(rest)
     return ranked.select(name.alias("tab"), "id", "rank", "neighbour", "similarity")
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, _ = rows_of(batch.column(2))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["t", "id"])
-
-
 def neighbour_pairs(found: DataFrame) -> DataFrame:
     """(tab, id_a, id_b): pairs of which one is a neighbour of the other."""
     return found.select("tab", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -7,9 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagebrook.storage import semi_join, written
+
 #: Numbers of a usable embedding.
 DIM = 64
 
@@ -70,6 +72,38 @@ def tagged(tables: dict[str, DataFrame], key: str = "id", vector: str = "embeddi
     return reduce(DataFrame.unionByName, parts)
 
 
+def smallest_ids(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The ``n`` smallest ids of each group with their rank ``r``, in two steps: no task sees a whole group."""
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    first = df.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(*by, "part").orderBy("id"))).where(F.col("r") <= n)
+    return first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= n).drop("part")
+
+
+def surplus_copies(rows: DataFrame, keep: int, least: int) -> tuple[DataFrame, DataFrame] | None:
+    """Records whose embedding equals that of ``keep`` records with smaller ids, for embeddings that more than ``least`` rows share.
+
+    ``rows(t, id, embedding)``.  Returns ``surplus(t, id, h)`` and ``kept(t, h, id, r)`` with the usable embeddings, or None
+    if no embedding is shared by so many.
+    """
+    hashed = rows.select("t", "id", F.xxhash64("embedding").alias("h"))
+    crowd = written(hashed.groupBy("t", "h").agg(F.count("*").alias("n")).where(F.col("n") > least).select("t", "h"), "crowd")
+    if not crowd.limit(1).count():
+        return None
+    many = written(semi_join(hashed, crowd, ["t", "h"]).distinct(), "many")
+    few = written(smallest_ids(many, ["t", "h"], keep), "few")
+    first = few.where("r = 1").select("t", "id", "h")
+    usable = semi_join(rows, first, ["t", "id"]).mapInArrow(_usable, "t byte, id long").distinct().join(first, ["t", "id"]).select("t", "h")
+    kept = written(few.join(usable, ["t", "h"], "left_semi"), "kept")
+    surplus = many.join(few.select("t", "h", "id"), ["t", "h", "id"], "left_anti").join(usable, ["t", "h"], "left_semi")
+    return written(surplus.select("t", "id", "h"), "surplus"), kept
+
+
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, _ = rows_of(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["t", "id"])
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows of consecutive equal values in the first ``keys`` columns of a sorted stream, as (key, rows)."""
     held: list[pa.RecordBatch] = []
