@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sagebrook.functions.chunkers import Chunker
+from sagebrook.storage import spread
 
 CHUNK_FIELDS = [
     T.StructField("content", T.StringType()),
@@ -42,7 +43,7 @@ def chunk(df: DataFrame, chunker: Chunker, text: str = "text", keep: list[str] |
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(keep)]), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*keep, *(f.name for f in CHUNK_FIELDS)])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *CHUNK_FIELDS]))
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *CHUNK_FIELDS]))
 
 
 def sentence_chunks(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

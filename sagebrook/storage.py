@@ -63,3 +63,18 @@ def semi_join(big: DataFrame, keys: DataFrame, on: str | list[str], width: int =
     if small_enough(keys.count(), width, limit_mb):
         keys = F.broadcast(keys)
     return big.join(keys, on, "left_semi")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For stages whose work outweighs their rows: a table in one small file would keep one core busy.  Tables large
+    enough to be read by every core are left as they are, without an exchange.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(word in plan for word in ("Join", "Aggregate", "Exchange", "Sort", "Window", "Limit", "Generate")):
+        return df  # it ends in an exchange, or counting its partitions would run it
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
