@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sagebrook.llm.vectors import DIM, binary, matrix, rotations, rows_of, runs, surplus_copies, tagged, unit
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import semi_join, small_enough, written
+from sagebrook.storage import semi_join, small_enough, spread, written
 
 #: Width of a cell along a direction, and how far its edge may lie from the middle of unit vectors.
 WIDTH, SHIFT = 0.5, 0.09
@@ -214,7 +214,7 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
     counts = keyed.groupBy("cell").agg(F.count("*").alias("n"))
     crowded = written(counts.where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowded")
     crowds = crowded.count()
-    full = rows.mapInArrow(_keyed(dims, grids, True), "t byte, id long, cell long, v binary")
+    full = spread(rows).mapInArrow(_keyed(dims, grids, True), "t byte, id long, cell long, v binary")
     if crowds:
         crowded = F.broadcast(crowded) if small_enough(crowds, 16) else crowded
         full = full.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import written
+from sagebrook.storage import spread, written
 
 #: Letters of a suffix; forms under one suffix before it is refined; letters of an anchor's start.
 SUFFIX, COMMON, START = 6, 60, 5
@@ -265,7 +265,7 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     tokens = distinct.where("kind = 'p'").select(F.explode(F.array_distinct(F.split("plain", r"[^\p{L}]+"))).alias("w")).where(F.length("w") >= 3)
     frequent = tokens.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(5, n // 1000)).orderBy(F.desc("n"), "w").limit(MOST_TOKENS).collect()
     given = frozenset(x for x in {*(_squash(fold(r.w)) for r in frequent), *short.values()} if 3 <= len(x) and x not in TITLES and x not in PARTICLES)
-    readings = written(distinct.select("form", "kind", "plain").mapInArrow(_readings(short, given), "form long, kind string, a string, s string, first string"), "readings")
+    readings = written(spread(distinct.select("form", "kind", "plain")).mapInArrow(_readings(short, given), "form long, kind string, a string, s string, first string"), "readings")
     suffix = F.concat("kind", F.lit(">"), F.substring("a", -SUFFIX, SUFFIX))
     counts = readings.groupBy(suffix.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
     ended = readings.withColumn("key", suffix).join(counts, "key", "left")

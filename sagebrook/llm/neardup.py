@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import semi_join, written
+from sagebrook.storage import semi_join, spread, written
 
 #: Rounds of hashing, buckets a round, registers a band, bits of the mantissa.
 ROUNDS, BUCKETS, ROWS, MANTISSA = 12, 16, 4, 10
@@ -210,7 +210,7 @@ def similar_texts(docs: DataFrame, key: str = "id", text: str = "content", size:
     """
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    sketches = written(source.mapInArrow(_sketch(size, least_words), f"id {kind}, h long, keys array<int>, codes binary"), "sketches")
+    sketches = written(spread(source).mapInArrow(_sketch(size, least_words), f"id {kind}, h long, keys array<int>, codes binary"), "sketches")
     members = written(sketches.select("id", "h").distinct(), "members")
 
     # Bands: one exchange by key; keys of a single class end here.

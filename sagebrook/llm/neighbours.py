@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebrook.llm.vectors import binary, matrix, rotations, rows_of, runs, surplus_copies, tagged, unit
+from sagebrook.storage import spread
 
 #: Orderings, directions of a curve, bits a direction.
 ORDERINGS, DIRECTIONS, BITS = 5, 6, 8
@@ -162,7 +163,7 @@ def nearest(tables: dict[str, DataFrame], k: int = 5, floor: float = -1.0, key:
         rows = rows.join(surplus.select("t", "id"), ["t", "id"], "left_anti")
     n = max(1, sum(df.count() for df in tables.values()) * orderings // RANGE_ROWS)
     parts = max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.mapInArrow(_ordered(orderings), "o byte, t byte, key long, id long, v binary").repartitionByRange(parts, "o", "t", "key", "id").sortWithinPartitions("o", "t", "key", "id")
+    placed = spread(rows).mapInArrow(_ordered(orderings), "o byte, t byte, key long, id long, v binary").repartitionByRange(parts, "o", "t", "key", "id").sortWithinPartitions("o", "t", "key", "id")
     found = placed.mapInArrow(_windows(k, floor), "t byte, id long, near array<struct<away:double,other:long>>")
     # At most orderings * k candidates a record.
     merged = found.groupBy("t", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))

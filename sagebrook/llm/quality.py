@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebrook.llm.examples import EXAMPLES
-from sagebrook.storage import written
+from sagebrook.storage import spread, written
 
 #: Statistics, in order.
 STATISTICS = (
@@ -193,7 +193,7 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, written boolean, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(_measured(1), schema)
+    return spread(docs.select(key, F.col(text).alias("__text"))).mapInArrow(_measured(1), schema)
 
 
 @dataclass

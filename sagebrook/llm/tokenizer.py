@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sagebrook.storage import spread
+
 # The split pattern of the byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -164,7 +166,7 @@ def _counts(path: str, column: int):
 
 def _mapped(df: DataFrame, text: str, keep: list[str], name: str, kind: T.DataType, run) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, kind)])
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 def encode_ids(df: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
