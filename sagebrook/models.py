@@ -233,6 +233,12 @@ class EmbeddingService:
             self.stats["texts_embedded"] += len(part)
         return out
 
+    def embed_and_prepare(self, chunks: DataFrame, source: str | None = None) -> DataFrame:
+        """Chunker output with embeddings as rows of the chunk store."""
+        from sagebrook.sources.snapshots import from_chunks
+
+        return from_chunks(self.embed_chunks(chunks), source)
+
     def embed_chunks(self, chunks: DataFrame, text: str = "content") -> DataFrame:
         """Chunks with embeddings, on the executors; any failed call fails the action."""
         done = embed(chunks, self.function, text, batch=self.batch_size)

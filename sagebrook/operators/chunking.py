@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sagebrook.functions.chunkers import Chunker
+from sagebrook.functions.chunkers import Character, Chunker
 from sagebrook.storage import spread
 
 CHUNK_FIELDS = [
@@ -61,6 +61,11 @@ def paragraph_chunks(df: DataFrame, text: str = "text", keep: list[str] | None =
     return df.select(*keep, F.posexplode(parts).alias("index", "content"))
 
 
+def chunk_text(df: DataFrame, text: str = "text", max_chars: int = 500, overlap: int = 50, keep: list[str] | None = None) -> DataFrame:
+    """Pieces of texts by size as (keep..., index, content); an overlap of the whole piece still moves on."""
+    return chunk(df, Character(max_chars, overlap), text, keep).select(*(keep if keep is not None else [c for c in df.columns if c != text]), "index", "content")
+
+
 def valid_chunk(text: Column, content: Column, start: Column, end: Column) -> Column:
     """Whether a chunk's bytes are those of its source between its offsets."""
     size = end - start

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebrook.functions.text import rendered, without_fence
 from sagebrook.models import Embed, Generate, complete, embed
+from sagebrook.operators import fusion
 from sagebrook.schemas import GENERATION, RESULT
 
 TRIAD_PROMPT = (
@@ -68,6 +69,39 @@ def results_of(df: DataFrame, key: str) -> DataFrame:
     return df.select("qid", F.posexplode(found).alias("position", "r")).select("qid", (F.col("position") + 1).alias("position"), "r.*")
 
 
+def retrieve(df: DataFrame, key: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of ``search(queries)`` under a key; if it fails, its error is added to the rows, which go on without results.
+
+    Only building the plan is guarded; a failing task fails the action as everywhere.
+    """
+    try:
+        return put_results(df, key, search(df.where("NOT halted")))
+    except Exception as error:  # noqa: BLE001
+        return add_error(df, F.when(~F.col("halted"), F.lit(f"{type(error).__name__}: {error}")))
+
+
+def concatenate(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The lists of several keys one after the other under ``out``; a row without a key is an error."""
+    lists = [df.where("NOT halted").transform(results_of, k) for k in keys]
+    stacked = fusion.concatenated(lists).withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("list", "position")).cast("int"))
+    return put_results(df, out, stacked)
+
+
+def fuse(df: DataFrame, weights: dict[str, float], out: str, identity: list[str] | None = None) -> DataFrame:
+    """Weighted reciprocal rank fusion of the lists of several keys under ``out``, best first, ties by id."""
+    if not weights:
+        raise ValueError("no results to fuse")
+    live = df.where("NOT halted")
+    found = fusion.weighted_ranks({k: (results_of(live, k), w) for k, w in weights.items()}, identity or ["id"], ["qid"])
+    return put_results(df, out, found.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")).cast("int")))
+
+
+def deduplicate(df: DataFrame, key: str, unique_by: list[str]) -> DataFrame:
+    """A key's list without later rows that agree in the named fields."""
+    first = fusion.first_of_each(results_of(df.where("NOT halted"), key), ["qid", *unique_by], ["position"]) if unique_by else fusion.first_of_each(df, [], [])
+    return put_results(df, key, first.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("position")).cast("int")))
+
+
 def build_context(df: DataFrame, key: str, build: Callable[[Column], Column] | None = None) -> DataFrame:
     """The context, by default the contents of a key's results, one a line."""
     build = build or (lambda results: F.array_join(F.transform(results, lambda r: r["content"]), "\n"))

@@ -10,6 +10,7 @@ from sagebrook.functions import chunkers
 from sagebrook.functions import vector as V
 from sagebrook.functions.text import graphemes, line_slice, token_estimate
 from sagebrook.operators import chunking, community, extraction, fusion, generation, graph, rerank, retrievers, search, triples
+from sagebrook.operators.positions import positions
 from sagebrook.plans import agent, routing
 
 QUERIES: dict = {}
@@ -589,6 +590,50 @@ def generation_run(spark, folder):
     return rows.select("qid", "response", "halted", F.to_json("evaluations").alias("evaluations"), F.size("context_sources").alias("sources"))
 
 
+def _generation_lists(spark, folder):
+    """Queries with two retrieved lists each: nearest by vector, and those in the order of their ids."""
+    base = _t(spark, folder, "embeddings")
+    rows = generation.new(base.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.lit("q").alias("query")))
+    near = search.semantic_batch(base, base.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 5, key="vec_id")
+    result = lambda df, score: df.select("qid", F.col("rank").alias("position"), F.col("id").cast("string").alias("id"), F.lit("").alias("content"), score.alias("score"), F.lit(None).cast("string").alias("source"), F.create_map().cast("map<string,string>").alias("metadata"))
+    by_id = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
+    rows = generation.put_results(rows, "near", result(near, 1 / (1 + F.col("distance"))))
+    return generation.put_results(rows, "by_id", result(by_id, F.lit(0.0)))
+
+
+_SQL_LISTS = """WITH d AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+n AS (SELECT qid, id, r FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS r FROM d) WHERE r <= 5), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM n)
+"""
+
+
+@query(
+    "generation_fusion",
+    _SQL_LISTS
+    + """, p AS (SELECT qid, id, 1.0 * 5 / (60 + r - 1) / (2 / 60.0) AS s FROM n UNION ALL SELECT qid, id, 2.0 * 5 / (60 + r - 1) / (2 / 60.0) FROM b)
+SELECT qid, id::VARCHAR AS id, (row_number() OVER (PARTITION BY qid ORDER BY round(sum(s), 9) DESC, id::VARCHAR))::INT AS position FROM p GROUP BY qid, id""",
+)
+def generation_fusion(spark, folder):
+    fused = generation.fuse(_generation_lists(spark, folder), {"near": 1.0, "by_id": 2.0}, "fused")
+    return generation.results_of(fused, "fused").select("qid", "id", F.col("position").cast("int").alias("position"))
+
+
+@query("generation_concat", _SQL_LISTS + "SELECT qid, id::VARCHAR AS id, r::INT AS position FROM n")
+def generation_concat(spark, folder):
+    """Both lists one after the other, then without repetitions: the first list again."""
+    both = generation.deduplicate(generation.concatenate(_generation_lists(spark, folder), ["near", "by_id"], "both"), "both", ["id"])
+    return generation.results_of(both, "both").select("qid", "id", F.col("position").cast("int").alias("position"))
+
+
+@query("zip_embeddings", "SELECT doc_id, source, vec_id FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS r FROM documents) JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, count(*) OVER () AS n FROM embeddings) USING (r)")
+def zip_embeddings(spark, folder):
+    """As many documents as there are vectors, by position."""
+    vectors = positions(_t(spark, folder, "embeddings"), ["vec_id"])
+    docs = positions(_t(spark, folder, "documents").select("doc_id", "source"), ["doc_id"]).join(vectors.select("position"), "position", "left_semi")
+    with_ids = vectors.select("position", F.struct("vec_id", "embedding").alias("embedding"))
+    some = with_ids.join(docs.select("position"), "position", "left_semi")
+    return models.with_vectors(docs, some).select("doc_id", "source", "embedding.vec_id")
+
+
 # --- routing, conversations, registry ---
 
 

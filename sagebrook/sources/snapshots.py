@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from sagebrook import schemas
 from sagebrook.operators import search
+from sagebrook.operators.positions import positions
 
 
 class SnapshotTable:
@@ -84,19 +85,7 @@ class SnapshotTable:
         highest = self.read().agg(F.max(self.key)).first()[0] or 0
         if named is not None:
             highest = max(highest, named.agg(F.max(self.key)).first()[0] or 0)
-        part, place = F.spark_partition_id(), F.monotonically_increasing_id()
-        from sagebrook.storage import written
-
-        held = written(unnamed.withColumn("__part", part).withColumn("__place", place), "unnamed")
-        sizes = {r["__part"]: r["n"] for r in held.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a partition
-        offsets, total = {}, highest
-        for p in sorted(sizes):
-            offsets[p], total = total, total + sizes[p]
-        start = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv))
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("__part").orderBy("__place"))
-        given = held.withColumn(self.key, (start[F.col("__part")] + rank).cast("long")).drop("__part", "__place")
+        given = positions(unnamed.drop(self.key), None, self.key, highest + 1)
         return given if named is None else named.unionByName(given, allowMissingColumns=True)
 
     def insert(self, df: DataFrame) -> int:

@@ -3,6 +3,7 @@ import pytest
 from sagebrook import models, schemas
 from sagebrook.functions.chunkers import Sentence
 from sagebrook.operators.chunking import chunk
+from sagebrook.operators.positions import positions
 from sagebrook.sources import files
 from sagebrook.sources.snapshots import ChunkStore, GraphStore, from_chunks
 from sagebrook.streaming.breaker import circuit_breaker, windowed_failures
@@ -84,3 +85,11 @@ def test_breaker_stream(spark, tmp_path):
     q = windowed_failures(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(180)
     assert {(r.provider, r.calls, r.failures) for r in spark.table("windows").collect()} == {(1, 5, 4), (2, 1, 1)}
+
+
+def test_positions(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v").repartition(5)
+    out = positions(df, ["v"]).collect()
+    assert sorted((r.v, r.position) for r in out) == [(n, n + 1) for n in range(1000)]
+    assert sorted(r.position for r in positions(df, start=10).collect()) == list(range(10, 1010))
+    assert positions(df.where("false"), ["v"]).count() == 0
