@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebrook.storage import written
@@ -18,11 +18,10 @@ def positions(df: DataFrame, order: list[str] | None = None, name: str = "positi
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     held = written(df.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()), "placed")
     sizes = {r["__part"]: r["n"] for r in held.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    offsets, total = {}, start - 1
+    offsets, total = [], start - 1
     for part in sorted(sizes):
-        offsets[part], total = total, total + sizes[part]
-    if not offsets:
-        return held.drop("__part", "__place").withColumn(name, F.lit(None).cast("long"))
-    first: Column = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv))[F.col("__part")]
+        offsets.append((part, total))
+        total += sizes[part]
+    first = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __first long"))  # one row a partition
     rank = F.row_number().over(Window.partitionBy("__part").orderBy("__place"))
-    return held.withColumn(name, (first + rank).cast("long")).drop("__part", "__place")
+    return held.withColumn(name, rank).join(first, "__part").withColumn(name, F.col("__first") + F.col(name)).drop("__part", "__place", "__first")

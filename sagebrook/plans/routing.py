@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebrook.models import BEST_FOR
+from sagebrook.storage import written
 
 # Words that tell the task of a prompt; those of analysis come first.
 ANALYSIS_WORDS = "analyze explain review compare understand describe examine evaluate assess".split()
@@ -272,11 +273,22 @@ def preferred_provider(task: Column, fallback: str = "gemini") -> Column:
 def failure_streaks(calls: DataFrame, by: str = "provider", failed: str = "failed", order: list[str] | None = None, max_failures: int = 3) -> DataFrame:
     """Calls with ``streak``, failures in a row up to the call, and ``tripped``, whether that reaches the limit.
 
-    Runs between successes are islands; a provider's log is one sorted partition that spills, so a provider's
-    calls never sit in memory.
+    The log is range-partitioned by provider and time, so that one provider's calls are many tasks.  Each part counts
+    its own runs between successes; what runs over from earlier parts is summed over one row a part and
+    added to the failures before a part's first success.  A null outcome is no failure.
     """
     order = order or ["ts", "event_id"]
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    islands = calls.withColumn("island", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w))
-    v = Window.partitionBy(by, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn("streak", F.sum(F.when(F.col(failed), 1).otherwise(0)).over(v)).withColumn("tripped", F.col("streak") >= max_failures).drop("island")
+    placed = written(calls.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "log")
+    bad = F.when(F.col(failed), 1).otherwise(0)
+    so_far = Window.partitionBy(by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    runs = placed.withColumn("__run", F.sum(1 - bad).over(so_far))
+    in_run = Window.partitionBy(by, "__part", "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = written(runs.withColumn("streak", F.sum(bad).over(in_run)), "streaks")
+    ends = local.groupBy(by, "__part").agg(F.max("__run").alias("good"), F.max_by("streak", F.struct(*order)).alias("tail"))
+    parts = Window.partitionBy(by).orderBy("__part")
+    chained = ends.withColumn("chain", F.sum(F.when(F.col("good") > 0, 1).otherwise(0)).over(parts.rowsBetween(Window.unboundedPreceding, 0)))
+    out = chained.withColumn("out", F.sum("tail").over(Window.partitionBy(by, "chain").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = out.select(by, "__part", F.coalesce(F.lag("out").over(parts), F.lit(0)).alias("carry"))
+    joined = local.join(carried, (local[by].eqNullSafe(carried[by])) & (local["__part"] == carried["__part"]), "left").drop(carried[by], carried["__part"])
+    streak = F.col("streak") + F.when(F.col("__run") == 0, F.coalesce("carry", F.lit(0))).otherwise(0)
+    return joined.withColumn("streak", streak).withColumn("tripped", F.col("streak") >= max_failures).drop("__part", "__run", "carry")

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -237,3 +238,15 @@ def test_extraction(spark):
     assert [(e.name, e.type, e.aliases) for e in out.entities] == [("Alice", "person", [])]
     assert [(r.source, r.type, r.weight) for r in out.relationships] == [("Alice", "related_to", 1.0)] and out.error is None
     assert extraction.extract(texts, lambda p: ["nothing"] * len(p)).orderBy("id").first().error == "invalid_entity_format"
+
+
+def test_streaks_over_many_parts(spark):
+    rng = random.Random(4)
+    rows = [(p, n, n // 3, rng.random() < 0.9) for p in (1, 2) for n in range(400)]
+    calls = spark.createDataFrame(rows, "provider long, event_id long, ts long, failed boolean")
+    want, now = {}, {}
+    for p, n, _, f in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        now[p] = now.get(p, 0) + 1 if f else 0
+        want[p, n] = now[p]
+    out = routing.failure_streaks(calls).collect()
+    assert {(r.provider, r.event_id): r.streak for r in out} == want
