@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sagebrook.llm.vectors import DIM, binary, matrix, rotations, rows_of, runs, surplus_copies, tagged, unit
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import semi_join, small_enough, spread, written
+from sagebrook.storage import dropped, semi_join, small_enough, spread, written
 
 #: Width of a cell along a direction, and how far its edge may lie from the middle of unit vectors.
 WIDTH, SHIFT = 0.5, 0.09
@@ -216,8 +216,8 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
     crowds = crowded.count()
     full = spread(rows).mapInArrow(_keyed(dims, grids, True), "t byte, id long, cell long, v binary")
     if crowds:
-        crowded = F.broadcast(crowded) if small_enough(crowds, 16) else crowded
-        full = full.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        large = F.broadcast(crowded) if small_enough(crowds, 16) else crowded
+        full = full.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         # A row of block k is the left side of the pairs (k, j) for j >= k and the right side of (j, k) for j < k.
         code = lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own"))
@@ -239,6 +239,8 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
     node = lambda c: F.struct("t", F.col(c).alias("id"))
     found = connected_components(sure.select(node("a").alias("a"), node("b").alias("b")))
     labels = written(found.select(F.col("id.t").alias("t"), F.col("id.id").alias("id"), F.col("component.id").alias("cluster_id")).select(name.alias("tab"), "id", "cluster_id"), "labels")
+    for table in (crowded, links):
+        dropped(table)
     first = every.mapInArrow(_keyed(dims, 1, False), "t byte, id long, cell long")
     return labels, first.select(name.alias("tab"), "id", "cell")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import spread, written
+from sagebrook.storage import dropped, spread, written
 
 #: Letters of a suffix; forms under one suffix before it is refined; letters of an anchor's start.
 SUFFIX, COMMON, START = 6, 60, 5
@@ -284,6 +284,8 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     mere = written(one.union(two).distinct().join(people, "b", "left").select("a", "b", F.coalesce("component", "b").alias("person"), F.substring("g", 1, 2).alias("g")), "mere")
     vague = mere.groupBy("a").agg(F.min("person").alias("x"), F.max("person").alias("y"), F.min("g").alias("v"), F.max("g").alias("w")).where("x <> y AND v <> w").select("a")
     links = written(clear.union(mere.join(vague, "a", "left_anti").select("a", "b")).distinct(), "links")
+    for table in (distinct, readings, keyed, agreed, clear, mere):
+        dropped(table)
     return members.select("id", "kind", "form"), links
 
 

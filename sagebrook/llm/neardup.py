@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import semi_join, spread, written
+from sagebrook.storage import dropped, semi_join, spread, written
 
 #: Rounds of hashing, buckets a round, registers a band, bits of the mantissa.
 ROUNDS, BUCKETS, ROWS, MANTISSA = 12, 16, 4, 10
@@ -236,7 +236,10 @@ def similar_texts(docs: DataFrame, key: str = "id", text: str = "content", size:
     both = likely.join(sets.select(F.col("h").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("runs").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     pairs = both.withColumn("c", common).select("a", "b", (F.col("c") / (F.size("x") + F.size("y") - F.col("c"))).alias("similarity"))
-    return members, written(pairs.where(F.col("similarity") >= threshold), "pairs")
+    pairs = written(pairs.where(F.col("similarity") >= threshold), "pairs")
+    for table in (sketches, shared, crowd, candidates, wanted, codes, likely, first, sets):
+        dropped(table)
+    return members, pairs
 
 
 def similar_pairs(docs: DataFrame, key: str = "id", text: str = "content", **options) -> DataFrame:
