@@ -140,11 +140,11 @@ def chunks_of_entities(entities: DataFrame, chunks: DataFrame, depths: DataFrame
     return chunks.join(least, chunks["id"] == least["chunk_id"]).drop("chunk_id")
 
 
-def entities_by_vector(entities: DataFrame, query: list[float], limit: int = 10, type_: str | None = None) -> DataFrame:
+def entities_by_vector(entities: DataFrame, query: list[float], limit: int = 10, type_: str | None = None, copies: bool = False) -> DataFrame:
     """The nearest entities; the type filter is applied before the top-k."""
     from sagebrook.operators.search import semantic
 
-    return semantic(entities, query, limit, None if type_ is None else F.col("type") == type_)
+    return semantic(entities, query, limit, None if type_ is None else F.col("type") == type_, copies=copies)
 
 
 def entities_by_chunks(entities: DataFrame, chunks: DataFrame, query: list[float], limit: int = 10, type_: str | None = None) -> DataFrame:

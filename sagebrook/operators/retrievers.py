@@ -31,37 +31,40 @@ class Retriever(Protocol):
 @dataclass(frozen=True)
 class Semantic:
     chunks: DataFrame
+    copies: bool = False
     supports_embedding = True
     supports_text = False
 
     def retrieve(self, query: Query, limit: int = 10) -> DataFrame:
         if query.embedding is None:
             raise ValueError("invalid query format: a vector is needed")
-        return search.semantic(self.chunks, query.embedding, limit)
+        return search.semantic(self.chunks, query.embedding, limit, copies=self.copies)
 
 
 @dataclass(frozen=True)
 class FullText:
     chunks: DataFrame
+    copies: bool = False
     supports_embedding = False
     supports_text = True
 
     def retrieve(self, query: Query, limit: int = 10) -> DataFrame:
         if query.text is None:
             raise ValueError("invalid query format: a text is needed")
-        return search.fulltext(self.chunks.drop("embedding"), query.text, limit)
+        return search.fulltext(self.chunks.drop("embedding"), query.text, limit, copies_of="id" if self.copies else None)
 
 
 @dataclass(frozen=True)
 class Hybrid:
     chunks: DataFrame
+    copies: bool = False
     supports_embedding = True
     supports_text = True
 
     def retrieve(self, query: Query, limit: int = 10) -> DataFrame:
         if query.text is None or query.embedding is None:
             raise ValueError("invalid query format: a vector and a text are needed")
-        return search.hybrid(self.chunks, query.embedding, query.text, limit)
+        return search.hybrid(self.chunks, query.embedding, query.text, limit, copies=self.copies)
 
 
 @dataclass(frozen=True)

@@ -27,11 +27,12 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>"))) if "metadata" in df.columns else df
 
 
-def semantic(chunks: DataFrame, query: list[float], limit: int = 10, where: Column | None = None, score: str = "clamped", min_similarity: float | None = None, key: str = "id", vector: str = "embedding", wide: bool = False) -> DataFrame:
+def semantic(chunks: DataFrame, query: list[float], limit: int = 10, where: Column | None = None, score: str = "clamped", min_similarity: float | None = None, key: str = "id", vector: str = "embedding", wide: bool = False, copies: bool = False) -> DataFrame:
     """The nearest rows by Euclidean distance with ``distance`` and ``score``; ties by key.
 
     ``wide`` computes distances with NumPy in Arrow batches, which pays for several hundred dimensions; else they are
-    built-in expressions.
+    built-in expressions.  ``copies`` says that rows may share a key as copies of one record: they count once, and only after
+    their vectors have shrunk to distances, so that no vector is exchanged.
 
     ``where`` filters before the top-k.  ``score`` is ``clamped`` (max(0, 1 - d)) or ``decaying`` (1 / (1 + d)).
     Rows whose vector is null or of another size are left out.
@@ -42,7 +43,8 @@ def semantic(chunks: DataFrame, query: list[float], limit: int = 10, where: Colu
     df = df.withColumn("score", V.clamped_score(F.col("distance")) if score == "clamped" else V.decaying_score(F.col("distance")))
     if min_similarity is not None:
         df = df.where(F.col("score") >= min_similarity)
-    return normalised(df.drop(vector)).orderBy("distance", key).limit(limit)
+    df = df.drop(vector)
+    return normalised(df.dropDuplicates([key]) if copies else df).orderBy("distance", key).limit(limit)
 
 
 def semantic_batch(chunks: DataFrame, queries: DataFrame, limit: int = 10, key: str = "id", vector: str = "embedding", qid: str = "qid") -> DataFrame:
@@ -98,17 +100,18 @@ def _pass(chunks: DataFrame, ids: np.ndarray, queries: np.ndarray, limit: int, k
     return chunks.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "qid long, id long, distance double")
 
 
-def text_matches(chunks: DataFrame, query: str, text: str = "content", stop: bool = False, stem: bool = False, any_term: bool = False) -> DataFrame:
+def text_matches(chunks: DataFrame, query: str, text: str = "content", stop: bool = False, stem: bool = False, any_term: bool = False, copies_of: str | None = None) -> DataFrame:
     """Rows that hold all terms of the query (any of them with ``any_term``), with ``rank``.
 
     ``rank`` is the share of the text's terms that are terms of the query.  A query without terms matches nothing;
-    operators in it are text.
+    operators in it are text.  Copies of a record, rows that share the key ``copies_of``, count once; only matches are exchanged.
     """
     wanted = F.array_distinct(terms(F.lit(query), stop, stem))
     found = terms(F.col(text), stop, stem)
     hit = F.size(F.filter(found, lambda x: F.array_contains(wanted, x)))
     match = F.arrays_overlap(found, wanted) if any_term else F.size(F.array_except(wanted, found)) == 0
-    return chunks.where((F.size(wanted) > 0) & match).withColumn("rank", hit / F.size(found))
+    out = chunks.where((F.size(wanted) > 0) & match).withColumn("rank", hit / F.size(found))
+    return out if copies_of is None else out.dropDuplicates([copies_of])
 
 
 def fulltext(chunks: DataFrame, query: str, limit: int = 10, key: str = "id", text: str = "content", **options) -> DataFrame:
@@ -134,12 +137,12 @@ def inverted_index(chunks: DataFrame, key: str = "id", text: str = "content") ->
     return found.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf")).select("term", "id", "tf", "length")
 
 
-def hybrid(chunks: DataFrame, vector: list[float], text: str, limit: int = 10, key: str = "id") -> DataFrame:
-    """Vector and word search over one table, fused by reciprocal ranks."""
+def hybrid(chunks: DataFrame, vector: list[float], text: str, limit: int = 10, key: str = "id", copies: bool = False) -> DataFrame:
+    """Vector and word search over one table, fused by reciprocal ranks; ``copies`` as for :func:`semantic`."""
     from sagebrook.operators.fusion import reciprocal_ranks
 
     columns = [c for c in ("content", "source", "metadata") if c in chunks.columns]
     base = chunks.select(key, *columns, "embedding")
-    near = semantic(base, vector, limit, key=key).select(key, *columns, F.row_number().over(Window.orderBy("distance", key)).alias("position"))
-    match = fulltext(base.drop("embedding"), text, limit, key=key).select(key, *columns, F.row_number().over(Window.orderBy(F.desc("rank"), key)).alias("position"))
+    near = semantic(base, vector, limit, key=key, copies=copies).select(key, *columns, F.row_number().over(Window.orderBy("distance", key)).alias("position"))
+    match = fulltext(base.drop("embedding"), text, limit, key=key, copies_of=key if copies else None).select(key, *columns, F.row_number().over(Window.orderBy(F.desc("rank"), key)).alias("position"))
     return reciprocal_ranks([near, match], key).orderBy(F.desc("score"), key).limit(limit)

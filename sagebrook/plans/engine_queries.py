@@ -35,6 +35,11 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return schemas.copies_once(_t(spark, folder, "rag_chunks").select("id", "content", "source", "embedding"))
 
 
+def _raw(spark: SparkSession, folder: str, table: str = "rag_chunks") -> DataFrame:
+    """All rows, copies too, for operators that count copies once themselves."""
+    return _t(spark, folder, table).drop("metadata", "properties", "inserted_at", "updated_at")
+
+
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
     return schemas.copies_once(_t(spark, folder, "graph_entities").select("id", "type", "name", "embedding", "source_chunk_ids"))
 
@@ -66,7 +71,7 @@ _SQL_TERMS = r"list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+
 SELECT id, round(d, 6) AS distance, round(greatest(0, 1 - d), 6) AS score_clamped, round(1 / (1 + d), 6) AS score_decay FROM d WHERE d IS NOT NULL ORDER BY d, id LIMIT 10""",
 )
 def semantic_topk(spark, folder):
-    top = search.semantic(_chunks(spark, folder).select("id", "embedding"), _vector(spark, folder), 10)
+    top = search.semantic(_raw(spark, folder).select("id", "embedding"), _vector(spark, folder), 10, copies=True)
     return top.select("id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score_clamped"), F.round(V.decaying_score(F.col("distance")), 6).alias("score_decay"))
 
 
@@ -76,7 +81,7 @@ def semantic_topk(spark, folder):
 SELECT id, type, name, round(d, 6) AS distance FROM d WHERE d IS NOT NULL ORDER BY d, id LIMIT 10""",
 )
 def entity_knn_by_type(spark, folder):
-    return graph.entities_by_vector(_entities(spark, folder), _vector(spark, folder), 10, "technology").select("id", "type", "name", F.round("distance", 6).alias("distance"))
+    return graph.entities_by_vector(_raw(spark, folder, "graph_entities"), _vector(spark, folder), 10, "technology", copies=True).select("id", "type", "name", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -104,7 +109,7 @@ def cosine_to_query(spark, folder):
 SELECT id, round(len(list_filter(t, lambda x: list_contains(['the', 'limit', 'and', 'list'], x)))::DOUBLE / len(t), 6) AS rank FROM t WHERE list_has_all(t, ['the', 'limit', 'and', 'list'])""",
 )
 def fulltext_and(spark, folder):
-    return search.text_matches(_chunks(spark, folder).select("id", "content"), TEXT).select("id", F.round("rank", 6).alias("rank"))
+    return search.text_matches(_raw(spark, folder).select("id", "content"), TEXT, copies_of="id").select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(
@@ -114,7 +119,7 @@ SELECT id, source, round(len(list_filter(t, lambda x: list_contains(['the', 'and
 ORDER BY len(list_filter(t, lambda x: list_contains(['the', 'and'], x)))::DOUBLE / len(t) DESC, id LIMIT 10""",
 )
 def fulltext_topk(spark, folder):
-    return search.fulltext(_chunks(spark, folder).select("id", "content", "source"), "the AND and", 10).select("id", "source", F.round("score", 6).alias("score"))
+    return search.fulltext(_raw(spark, folder).select("id", "content", "source"), "the AND and", 10, copies_of="id").select("id", "source", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -151,14 +156,14 @@ f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS r FROM m ORDER BY
 
 @query("hybrid_rrf", _SQL_HYBRID + "SELECT id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM f) GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, id LIMIT 10")
 def hybrid_rrf(spark, folder):
-    found = retrievers.Hybrid(_chunks(spark, folder)).retrieve(retrievers.Query(TEXT, _vector(spark, folder)))
+    found = retrievers.Hybrid(_raw(spark, folder), copies=True).retrieve(retrievers.Query(TEXT, _vector(spark, folder)))
     return found.select("id", F.round("score", 9).alias("score"))
 
 
 def _lists(spark, folder):
-    base = _chunks(spark, folder)
-    near = search.semantic(base.select("id", "embedding"), _vector(spark, folder)).select("id", F.row_number().over(Window.orderBy("distance", "id")).alias("position"))
-    match = search.fulltext(base.select("id", "content"), TEXT).select("id", F.row_number().over(Window.orderBy(F.desc("rank"), "id")).alias("position"))
+    base = _raw(spark, folder)
+    near = search.semantic(base.select("id", "embedding"), _vector(spark, folder), copies=True).select("id", F.row_number().over(Window.orderBy("distance", "id")).alias("position"))
+    match = search.fulltext(base.select("id", "content"), TEXT, copies_of="id").select("id", F.row_number().over(Window.orderBy(F.desc("rank"), "id")).alias("position"))
     return near, match
 
 
