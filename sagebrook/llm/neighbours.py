@@ -63,8 +63,9 @@ def curve_keys(x: np.ndarray, orderings: int = ORDERINGS) -> np.ndarray:
     return out
 
 
-#: Rows of one range of the orderings.
-RANGE_ROWS = 150_000
+#: Most rows of one range of the orderings, and how many windows' reach it has at least: a range's end cuts the windows
+#: there, in one of the orderings.
+RANGE_ROWS, WINDOWS = 150_000, 16
 
 
 def _ordered(orderings: int):
@@ -161,8 +162,9 @@ def nearest(tables: dict[str, DataFrame], k: int = 5, floor: float = -1.0, key:
         heads = kept.where(F.col("r") <= k).select("t", "h", F.col("id").alias("other"))
         same = surplus.join(heads, ["t", "h"]).select("t", "id", "other")
         rows = rows.join(surplus.select("t", "id"), ["t", "id"], "left_anti")
-    n = max(1, sum(df.count() for df in tables.values()) * orderings // RANGE_ROWS)
-    parts = max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = sum(df.count() for df in tables.values()) * orderings
+    setting = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, n // RANGE_ROWS, min(setting, n // (WINDOWS * REACH)))
     placed = spread(rows).mapInArrow(_ordered(orderings), "o byte, t byte, key long, id long, v binary").repartitionByRange(parts, "o", "t", "key", "id").sortWithinPartitions("o", "t", "key", "id")
     found = placed.mapInArrow(_windows(k, floor), "t byte, id long, near array<struct<away:double,other:long>>")
     # At most orderings * k candidates a record.

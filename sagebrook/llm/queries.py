@@ -121,7 +121,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_stats": p9_stats,
 }
 
+_SQL_VECTORS = """v AS (SELECT DISTINCT ON (tab, id) tab, id, embedding::DOUBLE[] AS e FROM (
+  SELECT 'rag_chunks' AS tab, id, embedding FROM rag_chunks UNION ALL SELECT 'graph_entities', id, embedding FROM graph_entities)
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.tab, a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS s FROM v a JOIN v b ON a.tab = b.tab AND a.id <> b.id WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.9)
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+WITH w AS (SELECT DISTINCT ON (id) id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM rag_chunks),
+t AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM w WHERE len(w) >= 20),
+u AS (SELECT id, len(t) AS n, unnest(t) AS x FROM t),
+c AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM c WHERE common >= 0.5 * (n + m - common)""",
+    "p2_found": f"""
+WITH RECURSIVE {_SQL_VECTORS}, r AS (SELECT tab, a AS id, b AS other FROM s UNION SELECT r.tab, r.id, s.b FROM r JOIN s ON s.tab = r.tab AND s.a = r.other),
+l AS (SELECT tab, id, least(id, min(other)) AS cluster_id FROM r GROUP BY tab, id)
+SELECT tab, id, cluster_id FROM l WHERE (tab, cluster_id) IN (SELECT (tab, cluster_id) FROM l GROUP BY tab, cluster_id HAVING count(*) >= 3)""",
+    "p3_found": f"""
+WITH {_SQL_VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY tab, a ORDER BY s DESC, b) AS r FROM s)
+SELECT DISTINCT tab, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r <= 5""",
     "p6_found": r"""
 WITH c AS (SELECT id, content, lower(CASE WHEN contains(part, '.') THEN regexp_extract(part, '[^.]*$') END) AS e FROM (
   SELECT id, content, regexp_extract(regexp_replace(source, '[?#](.|\n)*$', ''), '[^/]*$') AS part FROM rag_chunks)),
