@@ -41,7 +41,7 @@ BUSINESS = {
     "acoustics": "acoust acou ac", "analytics": "analyt anal", "association": "assoc assn ass", "biotech": "bio biot biotechnology", "brothers": "bros bro", "ceramics": "ceram cer",
     "energy": "en ener", "foods": "food fds", "foundation": "found fdn fnd", "freight": "freig frt fr", "institute": "inst", "insurance": "ins insur", "international": "intl int internat",
     "irrigation": "irrig irr", "laboratories": "lab labs laboratory", "logistics": "log logist", "manufacturing": "mfg manuf mfc manufact", "optics": "opt optic", "printing": "print prnt prt", "robotics": "robot robo rob",
-    "software": "sw soft softw", "technologies": "tech technol technology", "textiles": "text textile tex", "university": "univ uni universityof",
+    "software": "sw soft softw", "technologies": "tech technol technology", "textiles": "text textile tex", "university": "univ uni universityof univof uniof",
 }
 _SHORT = {short: word for word, shorts in BUSINESS.items() for short in (word, *shorts.split())}
 _ENDS = sorted([*BUSINESS, "bros", "labs", "gmbh", "corporation", "limited", "company", "incorporated"], key=len, reverse=True)
@@ -60,6 +60,11 @@ def _squash(token: str) -> str:
     return re.sub(r"[^a-z]", "", token)
 
 
+def _read_alike(anchor: str) -> str:
+    """An anchor with pairs of letters as the one they are taken for."""
+    return anchor.replace("rn", "m").replace("vv", "w")
+
+
 def read_person(name: str, short: dict[str, str], given: frozenset[str]) -> list[tuple[str, str]]:
     """Readings (anchor, side) of a person's name; the side is a given name, the start of one, or an initial."""
     text = re.sub(r"\([^)]*\)", " ", fold(name))
@@ -120,9 +125,9 @@ def read_organisation(name: str) -> list[tuple[str, str]]:
     There are several where a short form is glued to the leading word.
     """
     text = re.sub(r"\([^)]*\)", " ", fold(name).replace("&", " and "))
-    words = [_squash(w) for w in re.split(r"[\s,/]+", text)]
+    words = [_squash(w) for w in re.split(r"[\s,/]+|(?<=[a-z])\.(?=[a-z])", text)]
     words = [w for w in words if w]
-    casual = any(w in ("team", "hq") for w in words)
+    casual = any(w in ("team", "hq") for w in words) or "(web)" in name.casefold()
     core, lines = [], []
     for n, w in enumerate(words):
         known = _known(w)
@@ -174,7 +179,7 @@ def common_subsequence(a: str, b: str) -> int:
 
 def same_anchor(a: str, b: str) -> bool:
     """Whether the ratio of the common subsequence to the longer anchor leaves one slip, two from 16 letters."""
-    if a == b:
+    if a == b or _read_alike(a) == _read_alike(b):
         return True
     longer = max(len(a), len(b))
     return longer >= 5 and common_subsequence(a, b) / longer >= 1 - (2 if longer >= 16 else 1) / longer - 1e-9
@@ -255,7 +260,7 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     if len(rows) > MOST_FORMS:
         raise ValueError(f"more than {MOST_FORMS} familiar forms")
     short = {_squash(fold(r.short_form)): _squash(fold(r.given)) for r in sorted(rows, key=lambda r: r.given, reverse=True)}
-    parted = F.regexp_replace("name", r"(?<=\p{Ll})(?=\p{Lu}\p{Ll}*\.)", " ")  # a short form glued to the word before
+    parted = F.regexp_replace("name", r"(?<=\p{Ll})(?=\p{Lu}\p{Ll}*\.|\p{Lu}{2,}\b)", " ")  # a short form glued to the word before
     plain = F.regexp_replace(F.regexp_replace(F.lower(parted), r"[\s ]+", " "), r"^ | $", "")
     named = entities.select("id", kind_of(F.col("type")).alias("kind"), plain.alias("plain")).where("id IS NOT NULL AND kind IS NOT NULL AND plain <> ''")
     members = written(named.select("id", "kind", "plain", F.xxhash64("kind", "plain").alias("form")).distinct(), "members")
