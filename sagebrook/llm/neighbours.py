@@ -82,42 +82,64 @@ def _ordered(orderings: int):
     return run
 
 
-def window_neighbours(ids: np.ndarray, x: np.ndarray, k: int, floor: float, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, similarity) of the best ``k`` of each row's window of ``reach`` rows to either side.
+#: Similarities in single precision are off by less than this, the rounding to 6 decimals included.
+MARGIN = 1e-5
+
+
+def best_of(near: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, similarity) of the best ``k`` of each row, from similarities in single precision (-2: none).
 
-    Single precision picks a few more than ``k``; they are ranked by their similarity in double precision,
-    rounded to 6 decimals, the smaller id first on ties.
+    All within the margin of the ``k``-th best, however many, are ranked by their similarity in double precision, rounded
+    to 6 decimals, the smaller id first on ties.
     """
+    # The k-th of the maxima of k or more groups of columns is at most the k-th best.
+    width = max(1, min(64, near.shape[1] // (4 * k)))
+    whole = near.shape[1] // width * width
+    tops = near[:, :whole].reshape(len(near), -1, width).max(axis=2)
+    least = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k] if tops.shape[1] >= k else np.full(len(near), -2.0)
+    least = np.maximum(least - MARGIN, max(floor - MARGIN, -1.5)).astype(np.float32)
+    out: list[tuple[np.ndarray, ...]] = []
+    i, j = np.nonzero(near >= least[:, None])
+    for a, b in _slices(i, 200_000):
+        m, n = i[a:b], j[a:b]
+        sim = np.round((x[m] * y[n]).sum(axis=1), 6)
+        keep = sim >= floor
+        m, n, sim = m[keep], n[keep], sim[keep]
+        order = np.lexsort((ids[n], -sim, m))
+        m, n, sim = m[order], n[order], sim[order]
+        keep = np.arange(len(m)) - np.searchsorted(m, m) < k
+        out.append((m[keep], n[keep], sim[keep]))
+    return _joined(out)
+
+
+def _slices(rows: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ends of slices of about ``most`` entries of a sorted array that part no run of equal ones."""
+    a = 0
+    while a < len(rows):
+        b = min(len(rows), a + most)
+        b = int(np.searchsorted(rows, rows[b - 1], "right"))
+        yield a, b
+        a = b
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def window_neighbours(ids: np.ndarray, x: np.ndarray, k: int, floor: float, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, similarity) of the best ``k`` of each row's window of ``reach`` rows to either side."""
     single = x.astype(np.float32)
-    more = k + 4
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(x), BLOCK):
         low, high = max(0, a - reach), min(len(x), a + BLOCK + reach)
         near = single[a : a + BLOCK] @ single[low:high].T
         own = np.arange(len(near))
         near[own, own + a - low] = -2
-        rows = np.nonzero(near.max(axis=1) >= floor - 1e-5)[0]
-        if not len(rows):
-            continue
-        near = near[rows]
-        if near.shape[1] > more:
-            best = np.argpartition(near, near.shape[1] - more, axis=1)[:, -more:]
-        else:
-            best = np.tile(np.arange(near.shape[1]), (len(rows), 1))
-        i, j = np.repeat(rows + a, best.shape[1]), best.ravel() + low
-        keep = np.take_along_axis(near, best, axis=1).ravel() >= max(floor - 1e-5, -1.5)
-        i, j = i[keep], j[keep]
-        sim = np.round((x[i] * x[j]).sum(axis=1), 6)
-        keep = sim >= floor
-        i, j, sim = i[keep], j[keep], sim[keep]
-        order = np.lexsort((ids[j], -sim, i))
-        i, j, sim = i[order], j[order], sim[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = rank < k
-        out.append((i[keep], j[keep], sim[keep]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(c) for c in zip(*out))
+        i, j, sim = best_of(near, x[a : a + BLOCK], x[low:high], ids[low:high], k, floor)
+        out.append((i + a, j + low, sim))
+    return _joined(out)
 
 
 def _windows(k: int, floor: float):

@@ -152,6 +152,16 @@ def test_neighbours_of_copies(spark):
     assert neighbours.nearest({"a": table(spark, x).where("false")}).count() == 0
 
 
+def test_neighbours_of_one_direction(spark):
+    """More ties at 6 decimals than a few: one direction at many lengths, the smaller ids win."""
+    x = np.vstack([np.linspace(0.3, 3, 60)[:, None] * cloud(9, 1, singles=0)[:1], cloud(10, 8, singles=20)])
+    want = true_neighbours(x, 5, 0.9)
+    got = {}
+    for r in neighbours.nearest({"a": table(spark, x)}, 5, 0.9).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert all(got[n] == want[n] for n in range(1, 61))
+
+
 # --- names ---
 
 FORMS = [("Robert", "Bob"), ("Elizabeth", "Liz"), ("Alexander", "Alex")]
