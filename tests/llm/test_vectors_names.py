@@ -162,6 +162,24 @@ def test_neighbours_of_one_direction(spark):
     assert all(got[n] == want[n] for n in range(1, 61))
 
 
+def test_neighbours_in_a_crowd(spark):
+    """A third of all rows are a crowd of similar, unequal rows, many times as many as a window holds."""
+    rng = np.random.default_rng(12)
+    crowd = unit(rng.standard_normal((1, 64))) + rng.standard_normal((8000, 64)) * 0.03
+    x = np.vstack([rng.standard_normal((16000, 64)), crowd]).astype(np.float32)
+    u = unit(x)
+    want = {}
+    for n in range(16000, 24000, 40):
+        s = np.round(u @ u[n], 6)
+        s[n] = -2
+        want[n + 1] = [int(m) + 1 for m in np.lexsort((np.arange(len(s)), -s))[:5] if s[m] >= 0.9]
+    got = {}
+    for r in neighbours.nearest({"a": table(spark, x)}, 5, 0.9).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    pairs = {(n, m) for n, ms in want.items() for m in ms}
+    assert len(pairs) == 1000 and len(pairs & {(n, m) for n in want for m in got.get(n, [])}) >= 0.999 * len(pairs)
+
+
 # --- names ---
 
 FORMS = [("Robert", "Bob"), ("Elizabeth", "Liz"), ("Alexander", "Alex")]
