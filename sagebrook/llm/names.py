@@ -1,10 +1,10 @@
 """Variant spellings of the names of persons and organisations.
 
 Method: names are folded and read as an anchor (family name, leading word of an organisation) with its
-side (given name or initial, line of business).  Suffixes of the anchors are the blocking keys; a suffix
-that is too common isn't dropped but refined with the side, and the start of the anchor with the side's initial
-is a second key for slips near the end.  Pairs are compared by the longest common
-subsequence of their anchors and the compatibility of their sides.
+side (given name or initial, line of business).  The blocking keys of an anchor are the anchor itself and
+the anchor less one letter (two from 16 letters): of any two that the longest common subsequence accepts, wherever
+the slip is, one key is equal.  Each anchor is keyed once, however many names share it, so that no key is too common.
+Pairs are compared by the longest common subsequence of their anchors and the compatibility of their sides.
 
 Equal folded names are one form from the start; links hold between forms, and groups are the chains of
 links.  A form with a mere initial that fits several given names of one family is linked to none of them.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from sagebrook.operators.components import connected_components
 from sagebrook.storage import dropped, spread, written
 
-#: Letters of a suffix; forms under one suffix before it is refined; letters of an anchor's start.
-SUFFIX, COMMON, START = 6, 60, 5
+#: Sides of one anchor from which pairs are spread over tasks anew; it decides nothing else.
+COMMON = 60
 #: Largest table of familiar forms, and of frequent tokens, that is held on the driver.
 MOST_FORMS, MOST_TOKENS = 100_000, 5_000
 
@@ -185,6 +186,29 @@ def same_anchor(a: str, b: str) -> bool:
     return longer >= 5 and common_subsequence(a, b) / longer >= 1 - (2 if longer >= 16 else 1) / longer - 1e-9
 
 
+def anchor_keys(a: str) -> set[str]:
+    """Keys of which two anchors share one if :func:`same_anchor` accepts them."""
+    keys = level = {a}
+    for _ in range((len(a) >= 5) + (len(a) >= 16)):
+        level = {k[:n] + k[n + 1 :] for k in level for n in range(len(k))}
+        keys = keys | level
+    return keys | {"=" + _read_alike(a)}
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            part = batch.slice(at, 2000)
+            keys = [sorted(anchor_keys(a)) for a in part.column(1).to_pylist()]
+            rows = part.take(pa.array([n for n, k in enumerate(keys) for _ in k], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for k in keys for x in k], pa.string())], names=["kind", "a", "key"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([same_anchor(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_()))
+
+
 def _within(short: str, long_: str) -> bool:
     it = iter(long_)
     return all(c in it for c in short)
@@ -221,24 +245,23 @@ def same_lines(a: str, b: str) -> bool:
 def _readings(short: dict[str, str], given: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for form, kind, name in zip(*(c.to_pylist() for c in batch.columns)):
                 found = read_person(name, short, given) if kind == "p" else read_organisation(name)
                 for a, s in found:
-                    first = (short.get(s, s) if kind == "p" else s)[:1]
-                    for column, value in zip(out, (form, kind, a, s, first)):
+                    for column, value in zip(out, (form, kind, a, s)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], names=["form", "kind", "a", "s", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], names=["form", "kind", "a", "s"])
 
     return run
 
 
 def _agree(short: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits = lru_cache(1 << 17)(lambda kind, s, t: same_given(s, t, short) if kind == "p" else same_lines(s, t))
         for batch in batches:
-            kind, a, b, s, t = (batch.column(k).to_pylist() for k in range(2, 7))
-            keep = [same_anchor(a[n], b[n]) and (same_given(s[n], t[n], short) if kind[n] == "p" else same_lines(s[n], t[n])) for n in range(len(a))]
-            yield batch.select([0, 1, 2, 5, 6]).filter(pa.array(keep, pa.bool_()))
+            kind, _, _, s, t = (c.to_pylist() for c in batch.columns)
+            yield batch.filter(pa.array(list(map(fits, kind, s, t)), pa.bool_()))
 
     return run
 
@@ -270,17 +293,20 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     tokens = distinct.where("kind = 'p'").select(F.explode(F.array_distinct(F.split("plain", r"[^\p{L}]+"))).alias("w")).where(F.length("w") >= 3)
     frequent = tokens.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(5, n // 1000)).orderBy(F.desc("n"), "w").limit(MOST_TOKENS).collect()
     given = frozenset(x for x in {*(_squash(fold(r.w)) for r in frequent), *short.values()} if 3 <= len(x) and x not in TITLES and x not in PARTICLES)
-    readings = written(spread(distinct.select("form", "kind", "plain")).mapInArrow(_readings(short, given), "form long, kind string, a string, s string, first string"), "readings")
-    suffix = F.concat("kind", F.lit(">"), F.substring("a", -SUFFIX, SUFFIX))
-    counts = readings.groupBy(suffix.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-    ended = readings.withColumn("key", suffix).join(counts, "key", "left")
-    by_end = ended.withColumn("key", F.when(F.col("n").isNull(), F.col("key")).otherwise(F.concat("key", F.lit("|"), F.substring("a", 1, 2), F.lit("|"), F.col("first")))).drop("n")
-    by_start = readings.withColumn("key", F.concat("kind", F.lit("<"), F.substring("a", 1, START), F.lit("|"), F.col("first")))
-    keyed = written(by_end.select("key", "form", "kind", "a", "s").unionByName(by_start.select("key", "form", "kind", "a", "s")), "keyed")
-    right = keyed.select("key", F.col("form").alias("other"), F.col("a").alias("b"), F.col("s").alias("t"))
-    near = keyed.join(right, "key").where((F.col("form") < F.col("other")) & (F.levenshtein("a", "b", 4) >= 0))
-    met = near.select("form", "other", "kind", "a", "b", "s", "t").distinct()
-    agreed = written(met.mapInArrow(_agree(short), "form long, other long, kind string, s string, t string"), "agreed")
+    readings = written(spread(distinct.select("form", "kind", "plain")).mapInArrow(_readings(short, given), "form long, kind string, a string, s string"), "readings")
+    sides = written(readings.select("kind", "a", "s").distinct(), "sides")
+    anchors = spread(sides.select("kind", "a").distinct())
+    keyed = written(anchors.mapInArrow(_keyed, "kind string, a string, key string").select("kind", "a", F.xxhash64("kind", "key").alias("key")), "keyed")
+    near = keyed.join(keyed.select("key", F.col("kind").alias("other"), F.col("a").alias("b")), "key").where("kind = other AND a < b").select("kind", "a", "b").distinct()
+    alike = near.mapInArrow(_alike, "kind string, a string, b string").union(sides.select("kind", "a", F.col("a").alias("b")).distinct())
+    met = alike.join(sides, ["kind", "a"]).join(sides.select("kind", F.col("a").alias("b"), F.col("s").alias("t")), ["kind", "b"]).where("a < b OR s <= t").select("kind", "a", "b", "s", "t")
+    if sides.groupBy("kind", "a").count().where(F.col("count") > COMMON).limit(1).count():
+        met = met.repartition("kind", "a", "b", "s", "t")
+    fit = met.mapInArrow(_agree(short), "kind string, a string, b string, s string, t string")
+    ends = fit.join(readings, ["kind", "a", "s"]).join(readings.select(F.col("form").alias("other"), "kind", F.col("a").alias("b"), F.col("s").alias("t")), ["kind", "b", "t"]).where("form <> other")
+    turned = F.col("form") > F.col("other")
+    ordered = ends.select(F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other"), "kind", F.when(turned, F.col("t")).otherwise(F.col("s")).alias("s"), F.when(turned, F.col("s")).otherwise(F.col("t")).alias("t"))
+    agreed = written(ordered.distinct(), "agreed")
     # A mere initial that meets several people, apart by all that is clear, says nothing.
     clear = written(agreed.where("kind = 'o' OR (length(s) = 1) = (length(t) = 1)").select(F.col("form").alias("a"), F.col("other").alias("b")).distinct(), "clear")
     people = connected_components(clear).select(F.col("id").alias("b"), "component")
@@ -289,7 +315,7 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     mere = written(one.union(two).distinct().join(people, "b", "left").select("a", "b", F.coalesce("component", "b").alias("person"), F.substring("g", 1, 2).alias("g")), "mere")
     vague = mere.groupBy("a").agg(F.min("person").alias("x"), F.max("person").alias("y"), F.min("g").alias("v"), F.max("g").alias("w")).where("x <> y AND v <> w").select("a")
     links = written(clear.union(mere.join(vague, "a", "left_anti").select("a", "b")).distinct(), "links")
-    for table in (distinct, readings, keyed, agreed, clear, mere):
+    for table in (distinct, readings, sides, keyed, agreed, clear, mere):
         dropped(table)
     return members.select("id", "kind", "form"), links
 

@@ -229,6 +229,17 @@ def test_common_suffix_is_refined_not_dropped(spark, monkeypatch):
     assert {tuple(r) for r in names.name_pairs(df, spark.createDataFrame(FORMS, "given string, short_form string")).collect()} >= {(1, 3), (1, 5)}
 
 
+def test_a_slip_anywhere_meets_however_common_the_ending(spark):
+    """Slips in the first two letters under an ending of many anchors, and in the middle of short anchors."""
+    rng = np.random.default_rng(3)
+    many = ["".join(rng.choice(list("bdfgklmnprstv"), 6)) + "trostrau" for _ in range(70)]
+    pairs = [("Baulgriltrostrau Optics", "Bulgriltrostrau Optics"), ("Gilnmirtrostrau Foods", "Glinmirtrostrau Foods"), ("Schmidt Energy", "Schnidt Energy"), ("Gonugeji Foods", "Gonvugeji Foods")]
+    rows = [(n + 1, "org", name) for n, name in enumerate([x for p in pairs for x in p] + [f"{m.title()} Freight" for m in many])]
+    df = spark.createDataFrame(rows, "id long, type string, name string")
+    got = {tuple(r) for r in names.name_pairs(df, spark.createDataFrame(FORMS, "given string, short_form string")).collect()}
+    assert got >= {(1, 2), (3, 4), (5, 6), (7, 8)}
+
+
 def test_subsequence():
     def slow(a, b):
         rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
