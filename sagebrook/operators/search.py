@@ -48,7 +48,7 @@ def semantic(chunks: DataFrame, query: list[float], limit: int = 10, where: Colu
 
 
 def semantic_batch(chunks: DataFrame, queries: DataFrame, limit: int = 10, key: str = "id", vector: str = "embedding", qid: str = "qid") -> DataFrame:
-    """(qid, id, distance, rank): the nearest rows of every query of a stated set.
+    """(qid, id, distance, rank): the nearest rows of every query of a stated set; distances equal at 9 decimals by key.
 
     The queries are collected up to ``MOST_QUERIES`` at a time, a stated bound; each part is one pass over the rows
     without an exchange of them.  Null and unequal vectors on either side match nothing.
@@ -67,14 +67,14 @@ def semantic_batch(chunks: DataFrame, queries: DataFrame, limit: int = 10, key:
             parts.append(_pass(chunks, np.array([r.q for r in mine]), np.array([r.v for r in mine], float), limit, key, vector))
     if not parts:
         return chunks.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
-    best = Window.partitionBy("qid").orderBy("distance", "id")
+    best = Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
 def _pass(chunks: DataFrame, ids: np.ndarray, queries: np.ndarray, limit: int, key: str, vector: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.empty((len(ids), 0), np.int64)
-        best = np.empty((len(ids), 0))
+        q, keys, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        bound = np.full(len(ids), np.inf)
         norm = (queries**2).sum(axis=1)[:, None]
         for batch in batches:
             lengths = np.asarray(batch.column(1).value_lengths().fill_null(-1))
@@ -85,17 +85,30 @@ def _pass(chunks: DataFrame, ids: np.ndarray, queries: np.ndarray, limit: int, k
                 k = np.asarray(batch.column(0).take(part))
                 good = np.isfinite(x).all(axis=1)
                 x, k = x[good], k[good]
-                near = np.sqrt(np.maximum(0, norm + (x**2).sum(axis=1)[None, :] - 2 * queries @ x.T))
-                both, names = np.hstack([best, near]), np.hstack([keys, np.broadcast_to(k, near.shape)])
-                if both.shape[1] > 4 * limit:
-                    # A few more than wanted, so that rounding of the expanded form decides nothing.
-                    kept = np.argpartition(both, 2 * limit, axis=1)[:, : 2 * limit]
-                    both, names = np.take_along_axis(both, kept, 1), np.take_along_axis(names, kept, 1)
-                best, keys = both, names
-        if best.size:
-            order = np.lexsort((keys, np.round(best, 9)), axis=1)[:, : 2 * limit]
-            best, keys = np.take_along_axis(best, order, 1), np.take_along_axis(keys, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(keys.ravel()), pa.array(best.ravel())], names=["qid", "id", "distance"])
+                if not len(k):
+                    continue
+                square = (x**2).sum(axis=1)[None, :]
+                near = norm + square - 2 * queries @ x.T
+                if len(k) > limit:
+                    last = np.minimum(bound, np.sqrt(np.maximum(0, np.partition(near, limit - 1, axis=1)[:, limit - 1])))
+                else:
+                    last = bound
+                # All within the rounding of the last, however many, so that the expanded form decides nothing.
+                slack = 1e-11 * (norm[:, 0] + square.max())
+                i, j = np.nonzero(near <= ((last + 2e-9) ** 2 + slack)[:, None])
+                for c in range(0, len(i), 200_000):
+                    m, n = i[c : c + 200_000], j[c : c + 200_000]
+                    exact = np.sqrt(((queries[m] - x[n]) ** 2).sum(axis=1))
+                    q, keys, best = np.append(q, m), np.append(keys, k[n]), np.append(best, exact)
+                    order = np.lexsort((keys, np.round(best, 9), q))
+                    q, keys, best = q[order], keys[order], best[order]
+                    kept = np.arange(len(q)) - np.searchsorted(q, q) < limit
+                    q, keys, best = q[kept], keys[kept], best[kept]
+                full, first = np.unique(q, return_index=True)
+                counts = np.diff(np.append(first, len(q)))
+                bound[full[counts == limit]] = best[(first + limit - 1)[counts == limit]]
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys), pa.array(best)], names=["qid", "id", "distance"])
 
     return chunks.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "qid long, id long, distance double")
 

@@ -33,6 +33,16 @@ def test_batch(spark, chunks):
     assert search.semantic_batch(chunks, queries.where("false")).count() == 0
 
 
+def test_batch_of_ties(spark):
+    """More equal vectors than are kept: the smaller ids win, wherever they lie."""
+    n = 9000
+    rows = spark.range(n).select((n - F.col("id")).alias("id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(0.1), F.lit(0.7), F.lit(0.3))).otherwise(F.array(F.col("id") + 2.0, F.lit(5.0), F.lit(1.0))).alias("embedding"))
+    queries = spark.createDataFrame([(7, [0.1, 0.7, 0.3]), (8, [0.2, 0.6, 0.1])], "qid long, embedding array<double>")
+    ties = sorted(n - k for k in range(0, n, 3))[:4]
+    out = sorted((r.qid, r["rank"], r.id) for r in search.semantic_batch(rows.coalesce(1), queries, 4).collect())
+    assert out == [(q, k + 1, i) for q in (7, 8) for k, i in enumerate(ties)]
+
+
 def test_fulltext(chunks):
     assert [(r.id, round(r.score, 3)) for r in search.fulltext(chunks, "The FOX!").collect()] == [(1, 0.667), (2, 0.5)]
     assert search.fulltext(chunks, " ?!: ").count() == 0
