@@ -240,6 +240,18 @@ def test_a_slip_anywhere_meets_however_common_the_ending(spark):
     assert got >= {(1, 2), (3, 4), (5, 6), (7, 8)}
 
 
+def test_accepted_anchors_share_a_key():
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        a = "".join(rng.choice(list("abrnm"), rng.integers(1, 19)))
+        b = list(a)
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.choice(list("abrnm"), rng.integers(0, 2)).tolist()
+        b = "".join(b)
+        assert not names.same_anchor(a, b) or names.anchor_keys(a) & names.anchor_keys(b), (a, b)
+
+
 def test_subsequence():
     def slow(a, b):
         rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
