@@ -1,9 +1,8 @@
 """Statistics of texts that tell prose from lists, tables and junk.
 
-Method: a text's words, symbols and lines give its statistics; a Gaussian mixture is fitted to all
-standardised texts by expectation-maximisation, in rounds of sums over the whole collection.  The mixture
-starts at inspected examples of every kind, and after the fit a component has the kind of the
-examples that it explains.
+Method: a text's words, symbols and lines give its statistics, none of which names a kind; a Gaussian mixture is fitted to all
+standardised texts by expectation-maximisation, in rounds of sums over the whole collection.  It starts at spread-out rows of a bounded
+sample.  After the fit a component has the kinds of the labelled examples that it explains, and a text the kind of its components.
 """
 
 from __future__ import annotations
@@ -18,18 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagebrook.llm.examples import EXAMPLES
+from sagebrook.llm.examples import EXAMPLES, INSPECTED
 from sagebrook.storage import spread, written
 
-#: Statistics, in order.
+#: Statistics, in order; shares and ratios lie between 0 and 1.  Those of lines are weighted by their length where they are ``mid`` (the
+#: median) or ``low`` (the lower quartile).
 STATISTICS = (
-    "words", "word_length", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "distinct_words", "line_words",
-    "compressed", "rare_letters", "broken_ratio", "sentence_share", "entry_share", "cell_share", "noise_share",
+    "words", "word_length", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "distinct_words", "line_words", "line_words_sd", "compressed",
+    "rare_letters", "broken_ratio", "marked_lines", "kana_ratio", "even_cells", "cells", "commas", "uppercase", "mixed_tokens", "longest", "vowels", "repeated_lines",
+    "mid_common", "low_common", "mid_words", "low_words", "stops", "colons", "slashes", "breaks", "capital_lines", "short_words", "ended_chars", "lines", "spaces",
+    "longest_line", "repeated_pairs",
 )
-#: Those the mixture is fitted to.
-FITTED = STATISTICS[1:]
-#: Rounds of the fit, and least variance of a standardised statistic in a component.
-ROUNDS, LEAST_VARIANCE = 8, 0.02
+#: Counts enter the fit as logarithms, ratios that are mostly near 0 as square roots, the others as they are.
+_LOGS = ("words", "line_words", "cells", "longest", "mid_words", "low_words", "lines", "longest_line")
+_ROOTS = ("symbol_ratio", "digit_ratio", "rare_letters", "broken_ratio", "kana_ratio", "commas", "uppercase", "mixed_tokens", "stops", "colons", "slashes", "breaks")
+#: Components, rounds of the fit, rows of the sample that the components start at, largest standardised value.
+COMPONENTS, ROUNDS, SAMPLE, FARTHEST = 96, 8, 4096, 6.0
+#: Variance that a component starts with, rows that it weighs, and what is added to every variance.
+START_VARIANCE, START_ROWS, LEAST_VARIANCE = 0.3, 5.0, 0.02
 
 # Common words of five languages.
 COMMON = frozenset(
@@ -42,132 +47,79 @@ COMMON = frozenset(
 )
 _WORDS = re.compile(r"[^\W\d_]+")
 _KANA = re.compile(r"[぀-ヿ]")
-_BULLET = re.compile(r"\s*(?:[-*+•–‣▪◦·]|\[[ xX]\]|\(?\d{1,4}[.):]|\d{1,4} - |\(?[a-zA-Z][.)])\s+")
-_LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d|[A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d|[0-9a-fA-F]{6,8}:?\s+(?:[0-9a-fA-F]{2,4} ?){4}|\{?\"?(?:ts|time|level)\"?[:=]|at [\w.$]+\(|0x[0-9a-f]{4}|(?:[\w.-]+=\S+[ ,;]+){3})")
-_BLOB = re.compile(r"[A-Za-z0-9+/=]{40,}")
-_MARKUP = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.IGNORECASE)
-_CODE = re.compile(r"\s*(?:```|~~~)")
-_SEPARATOR = re.compile(r"\s*(?:[,;|·•»>→]|\s/\s|\s[-–]\s)\s*")
-_CRUMB = re.compile(r"\s[·»>|→]\s")
-_GAP = re.compile(r"(?<=\S)(?: {2,}|\t)(?=\S)")
-_RULE = re.compile(r"[\s|+:=-]+")
+_MARK = re.compile(r"[^\w\s\"'“«(¿¡]|\(?\d{1,4}[.):\]]|\d{1,4} - |\(?[a-zA-Z][.)] ")
+_GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
+_MIXED = re.compile(r"[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z]|[^\w\s.,:;!?'\"()\-/–]{2,}")
+_BREAK = re.compile(r"[,;|·•»>→/]")
 _BROKEN = re.compile(r"�|Ã[\x80-ÿ€-™]|Â[\x80-¿]|[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 _RARE = re.compile(r"[qxzjwvk]")
-
-
-def _runs(flags: list, least: int) -> list[bool]:
-    """Which items lie in a run of at least ``least`` equal, true values."""
-    out, a = [False] * len(flags), 0
-    while a < len(flags):
-        b = a
-        while b < len(flags) and flags[b] == flags[a]:
-            b += 1
-        if flags[a] and b - a >= least:
-            out[a:b] = [True] * (b - a)
-        a = b
-    return out
+_VOWEL = re.compile(r"[aeiouyäöüáéíóúàèâêîôûœæ]")
+#: What may part the cells of a line, besides wide gaps and commas without a space.
+_PARTS = ("|", "\t", ";", "&", "</t")
+_STOPS = ".!?…。！？"
+_ENDS = frozenset(_STOPS + "\"”»:")
+
+
+def _quantile(values: list[float], weights: list[int], share: float) -> float:
+    """The value at a share of the total weight."""
+    left = sum(weights) * share
+    for k in sorted(range(len(values)), key=values.__getitem__):
+        left -= weights[k]
+        if left <= 0:
+            return values[k]
+    return max(values)
+
+
+def _evenness(lines: list[str], sizes: list[int], text: str) -> tuple[float, int]:
+    """Share of the characters in lines with the commonest number of one separator, and that number; of the separators the most even."""
+    best = (0.0, 0)
+    counts = [[x.count(p) for x in lines] for p in _PARTS if p in text]
+    if "," in text:
+        counts.append([x.count(",") - x.count(", ") for x in lines])
+    if "  " in text:
+        counts.append([len(_GAP.findall(x)) if "  " in x else 0 for x in lines])
+    for own in counts:
+        held: dict[int, int] = {}
+        for c, size in zip(own, sizes):
+            if c > 0:
+                held[c] = held.get(c, 0) + size
+        if held:
+            c = max(held, key=lambda c: (held[c], c))
+            if own.count(c) >= 2:
+                best = max(best, (held[c] / sum(sizes), c))
+    return best
 
 
 def statistics(text: str) -> list[float]:
     """The statistics of a text that is not blank, whole."""
-    total = len(text)
-    lower = text.lower()
+    total, lower = len(text), text.lower()
     found = _WORDS.findall(lower)
-    n = len(found)
-    distinct = len(set(found)) / n if n else 0.0
-    kana = len(_KANA.findall(text)) if not text.isascii() else 0
-    letters = sum(map(len, found))
+    n, letters, tokens = len(found), sum(map(len, found)), text.split()
+    ink = sum(map(len, tokens))
+    plain = text.isascii()
+    kana = 0 if plain else len(_KANA.findall(text))
     digits = sum(map(text.count, "0123456789"))
-    blank = len(text) - len("".join(text.split()))
     raw = text.encode("utf-8", "surrogatepass")
-    packed = min(1.0, len(zlib.compress(raw, 1)) / len(raw)) if len(raw) >= 64 else 0.6
-    broken = 0 if text.isascii() else len(_BROKEN.findall(text))
-    rare = len(_RARE.findall(lower)) / letters if letters else 0.0
-    common = sum(w in COMMON for w in found)
-    lines = [x for x in text.splitlines() if x and not x.isspace()]
-    ended = sum(x.rstrip()[-1] in ".!?…。！？\"”»:" for x in lines)
-
-    sizes, sentence, entry, noise, shape = [], [], [], [], []
-    entries, fenced = 0, False
-    for line in lines:
-        if _CODE.match(line):
-            fenced = not fenced
-            continue
-        if fenced:
-            continue  # lines of code are neither
-        size = len(line)
-        sizes.append(size)
-        own = found if len(lines) == 1 else _WORDS.findall(line.lower())
-        k = len(own)
-        known = common if len(lines) == 1 else sum(w in COMMON for w in own)
-        is_noise = bool(_LOG.match(line)) or bool(_BLOB.search(line))
-        cells = 0
-        if not is_noise:
-            stripped = line.strip()
-            if line.count("|") >= 2 or stripped.startswith(("|", "+-", "+=")):
-                cells = shape[-1] if shape and 100 <= shape[-1] < 200 and _RULE.fullmatch(line) else 100 + line.count("|")
-                if shape and shape[-1] == 101 and stripped.startswith("|"):
-                    shape[-1] = cells
-                if _RULE.fullmatch(line) and cells == 100:
-                    cells = 101
-            elif _MARKUP.search(line):
-                cells = 300
-            elif "\t" in stripped:
-                cells = 400 + line.count("\t")
-            elif line.count(";") >= 2 or (line.count(";") == 1 and "; " not in line and not stripped.endswith(";")):
-                cells = 500 + line.count(";")
-            elif line.count(",") > line.count(", ") + stripped.endswith(","):
-                cells = 600 + (line.count(",") if '"' not in line else re.sub(r'"[^"]*"', "", line).count(","))
-            elif "  " in stripped and (len(_GAP.findall(stripped)) >= 2 or shape and shape[-1] == 700):
-                cells = 700
-            elif " & " in line and line.count(" & ") >= 2:
-                cells = 800 + line.count(" & ")
-        spoken = (k >= 4 and known >= 0.17 * k) or (k >= 6 and known >= 1 and line.rstrip()[-1] in ".!?" and "," not in line[:20])
-        is_sentence = not is_noise and spoken and (cells == 0 or (known >= 0.28 * k and k >= 8))
-        if not is_sentence and kana and len(_KANA.findall(line)) >= 0.12 * size:
-            is_sentence = not is_noise
-        if is_sentence:
-            cells = 0
-        plain = not is_sentence and not is_noise
-        is_entry = plain and size <= 110 and k <= 12
-        if plain and not is_entry:
-            parts = _SEPARATOR.split(line.strip())
-            if len(parts) >= 5 and k / len(parts) <= 6:
-                # One short entry a separator is a list; single words over and over are crumbs.
-                if _CRUMB.search(line) and k / len(parts) <= 1.6:
-                    is_noise = True
-                else:
-                    is_entry, entries = True, entries + len(parts)
-            elif not cells:
-                is_noise = not line.startswith(("    ", "\t"))
-        elif is_entry and len(lines) <= 2 and k >= 4:
-            parts = _SEPARATOR.split(line.strip())
-            if len(parts) >= 4:
-                entries += len(parts)
-        sentence.append(is_sentence)
-        noise.append(is_noise)
-        entry.append(is_entry)
-        shape.append(cells)
-    in_table = _runs(shape, 3)
-    if not any(in_table) and 2 <= len(lines) <= 3:
-        in_table = _runs([s if s % 100 >= 2 else 0 for s in shape], 2)
-    in_list = _runs([bool(e and not t) for e, t in zip(entry, in_table)], 3)
-    if len(lines) <= 2:
-        in_list = [bool(e and entries >= 4 and not t) for e, t in zip(entry, in_table)]
-    whole = sum(sizes) or 1
-    share = lambda flags: sum(s for s, f in zip(sizes, flags) if f) / whole
-    cell_share = share(in_table)
-    noise_share = share([x and not t for x, t in zip(noise, in_table)])
-    entry_share = share([x and not y for x, y in zip(in_list, noise)])
-    sentence_share = share(sentence)
-    symbols = max(0.0, total - blank - letters - digits) / max(1, total - blank)
-    # Texts whose words repeat without end, hold broken characters, lack letters or are random letters are noise as a whole.
-    if (n >= 15 and distinct < 0.12 and packed < 0.16) or broken > 0.02 * total or symbols > 0.55 and not in_table.count(True) or (n >= 8 and rare > 0.19 and common < 0.05 * n):
-        if cell_share < 0.5:
-            noise_share, sentence_share, entry_share = max(noise_share, 0.95), 0.0, 0.0
+    lines = [x.strip() for x in text.splitlines() if x and not x.isspace()]
+    sizes = list(map(len, lines))
+    own = [found] if len(lines) == 1 else [_WORDS.findall(x.lower()) for x in lines]
+    counts = list(map(len, own))
+    common = [sum(w in COMMON for w in x) for x in own]
+    shares = [min(1.0, (c / k if k else 0.0) + (len(_KANA.findall(x)) / len(x) if kana else 0.0)) for c, k, x in zip(common, counts, lines)]
+    logs = np.log1p(counts)
+    even, cells = _evenness(lines, sizes, text)
+    ended = [x[-1] in _ENDS for x in lines]
+    pairs = max(0, n - 1)
+    by_token = lambda k: min(1.0, k / len(tokens))
     return [
-        float(n), letters / n if n else 0.0, symbols, digits / max(1, total - blank), ended / max(1, len(lines)), min(1.0, (common + kana / 3) / n) if n else 0.0,
-        distinct, float(np.log1p(n / max(1, len(lines)))), packed, rare, min(1.0, broken / total * 5), sentence_share, entry_share, cell_share, noise_share,
+        float(n), min(25.0, letters / n) if n else 0.0, max(0, ink - letters - digits) / ink, digits / ink, sum(ended) / len(lines), min(1.0, (sum(common) + kana / 3) / n) if n else 0.0,
+        len(set(found)) / n**0.8 if n else 0.0, float(np.expm1(logs.mean())), float(logs.std()), min(1.2, len(zlib.compress(raw, 1)) / len(raw)),
+        len(_RARE.findall(lower)) / letters if letters else 0.0, 0.0 if plain else min(1.0, len(_BROKEN.findall(text)) / total * 5), sum(_MARK.match(x) is not None for x in lines) / len(lines),
+        min(1.0, kana / ink * 2), even, float(cells), by_token(text.count(",")), min(1.0, sum(map(str.isupper, text)) / max(1, letters)), by_token(sum(_MIXED.search(t) is not None for t in tokens)),
+        float(max(map(len, tokens))), len(_VOWEL.findall(lower)) / letters if letters else 0.0, 1 - len(set(lines)) / len(lines), _quantile(shares, sizes, 0.5), _quantile(shares, sizes, 0.25),
+        float(_quantile(counts, sizes, 0.5)), float(_quantile(counts, sizes, 0.25)), by_token(sum(map(text.count, _STOPS))), by_token(text.count(":")), by_token(text.count("/") + text.count("_") + text.count("=")),
+        by_token(len(_BREAK.findall(text))), sum(x[0].isupper() for x in lines) / len(lines), sum(len(w) <= 3 for w in found) / n if n else 0.0, sum(s for s, e in zip(sizes, ended) if e) / sum(sizes),
+        float(len(lines)), 1 - ink / total, float(max(counts)), 1 - len(set(zip(found, found[1:]))) / pairs if pairs else 0.0,
     ]
 
 
@@ -198,85 +150,149 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 @dataclass
 class Mixture:
-    """A Gaussian mixture with diagonal covariances over standardised statistics."""
+    """A Gaussian mixture with diagonal covariances over standardised statistics; ``kinds`` has a component's share of each kind."""
 
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
     means: np.ndarray
     variances: np.ndarray
-    kinds: list[str] | None = None
-
-    def responsibilities(self, x: np.ndarray) -> np.ndarray:
-        """Probability of every component for raw rows of the fitted statistics."""
-        z = (x - self.centre) / self.scale
-        log = np.log(self.weights) - 0.5 * np.log(self.variances).sum(axis=1)
-        log = log - 0.5 * ((z * z) @ (1 / self.variances).T - 2 * z @ (self.means / self.variances).T + (self.means**2 / self.variances).sum(axis=1))
-        log -= log.max(axis=1, keepdims=True)
-        p = np.exp(log)
+    kinds: np.ndarray | None = None
+    names: tuple[str, ...] = ()
+
+    def standardised(self, x: np.ndarray) -> np.ndarray:
+        """Rows of the statistics as they enter the fit."""
+        return np.clip((_transformed(x) - self.centre) / self.scale, -FARTHEST, FARTHEST)
+
+    def densities(self, z: np.ndarray) -> np.ndarray:
+        """Logarithm of every component's density at standardised rows, without what all have in common."""
+        square = (z * z) @ (1 / self.variances).T - 2 * z @ (self.means / self.variances).T + (self.means**2 / self.variances).sum(axis=1)
+        return -0.5 * (np.log(self.variances).sum(axis=1) + square)
+
+    def responsibilities(self, z: np.ndarray) -> np.ndarray:
+        """Probability of every component for standardised rows."""
+        log = np.log(self.weights) + self.densities(z)
+        p = np.exp(log - log.max(axis=1, keepdims=True)) if len(log) else log
         return p / p.sum(axis=1, keepdims=True)
 
 
+def _transformed(x: np.ndarray) -> np.ndarray:
+    x = x.copy()
+    for k, name in enumerate(STATISTICS):
+        if name in _LOGS:
+            x[:, k] = np.log1p(x[:, k])
+        elif name in _ROOTS:
+            x[:, k] = np.sqrt(x[:, k])
+    return x
+
+
+def _examples() -> tuple[np.ndarray, np.ndarray, tuple[str, ...]]:
+    """(statistics, share of each kind, names of the kinds) of the labelled examples."""
+    every = [(kind, t) for kind, texts in EXAMPLES.values() for t in texts] + INSPECTED
+    names = tuple(sorted({kind for kind, _ in every}))
+    return np.array([statistics(t) for _, t in every]), np.array([[kind == n for n in names] for kind, _ in every], float), names
+
+
+def _block(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([np.asarray(batch.column(s)) for s in STATISTICS]) if len(batch) else np.empty((0, len(STATISTICS)))
+
+
+def _totals(batches: Iterator[np.ndarray], width: int) -> pa.RecordBatch:
+    total = sum(batches, np.zeros((1, width)))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), width).cast(pa.list_(pa.float64()))], names=["k", "c"])
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (_transformed(_block(b)) for b in batches)
+    yield _totals((np.hstack([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])[None, :] for x in rows), 2 * len(STATISTICS) + 1)
+
+
+def _expected(mixture: Mixture, z: np.ndarray) -> np.ndarray:
+    """Sums of one round: rows, values and squares of each component."""
+    p = mixture.responsibilities(z)
+    return np.hstack([p.sum(axis=0)[:, None], p.T @ z, p.T @ (z * z)])
+
+
 def _sums(mixture: Mixture):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, d = mixture.means.shape
-        total = np.zeros((k, 2 * d + 1))
-        for batch in batches:
-            x = np.column_stack([np.asarray(c) for c in batch.columns])
-            if len(x):
-                p = mixture.responsibilities(x)
-                z = (x - mixture.centre) / mixture.scale
-                total += np.hstack([p.sum(axis=0)[:, None], p.T @ z, p.T @ (z * z)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), *(pa.array(total[:, c]) for c in range(2 * d + 1))], names=["k", *(f"c{c}" for c in range(2 * d + 1))])
+        yield _totals((_expected(mixture, mixture.standardised(_block(b))) for b in batches), 2 * len(STATISTICS) + 1)
 
     return run
 
 
-def fit_mixture(stats: DataFrame, rounds: int = ROUNDS) -> Mixture:
-    """Fit to all written rows; the driver gets one row of sums a component and round."""
-    rows = stats.where("written").select(*FITTED)
-    moments = rows.agg(*(f(s).alias(f"{n}_{s}") for s in FITTED for n, f in (("m", F.avg), ("d", F.stddev_pop)))).first()
-    centre = np.array([moments[f"m_{s}"] or 0.0 for s in FITTED])
-    scale = np.maximum(np.array([moments[f"d_{s}"] or 0.0 for s in FITTED]), 1e-3)
-    families = list(EXAMPLES)
-    examples = [np.array([statistics(t)[1:] for t in EXAMPLES[f][1]]) for f in families]
-    means = np.array([((e - centre) / scale).mean(axis=0) for e in examples])
-    spread = np.array([np.maximum(((e - centre) / scale).var(axis=0), 0.3) for e in examples])
-    mixture = Mixture(centre, scale, np.full(len(families), 1 / len(families)), means, spread)
-    k, d = means.shape
-    schema = "k long, " + ", ".join(f"c{c} double" for c in range(2 * d + 1))
+def _added(rows: DataFrame, function) -> np.ndarray:
+    """The sums of all partitions; the driver gets one row a partition sum and component, added up before."""
+    width = 2 * len(STATISTICS) + 1
+    parts = rows.mapInArrow(function, "k long, c array<double>").select("k", F.posexplode("c").alias("at", "v")).groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros((max((r.k for r in parts), default=0) + 1, width))
+    for r in parts:
+        out[r.k, r.at] = r.v
+    return out
+
+
+def _starts(z: np.ndarray, count: int) -> np.ndarray:
+    """Means to start at: rows drawn far from those drawn before, then each the mean of the rows nearest to it, ten times."""
+    rng = np.random.default_rng(1)
+    means = z[[rng.integers(len(z))]]
+    away = ((z - means[0]) ** 2).sum(axis=1)
+    while len(means) < count and away.max() > 1e-9:
+        means = np.vstack([means, z[rng.choice(len(z), p=away / away.sum())]])
+        away = np.minimum(away, ((z - means[-1]) ** 2).sum(axis=1))
+    for _ in range(10):
+        home = ((means**2).sum(axis=1) - 2 * z @ means.T).argmin(axis=1)
+        means = np.stack([z[home == k].mean(axis=0) if (home == k).any() else m for k, m in enumerate(means)])
+    return means
+
+
+def _nearest(z: np.ndarray, share: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Kinds of the labelled rows nearest to ``means``, in the metric of the labelled rows' variances within their kinds."""
+    within = z - share @ ((share.T @ z) / share.sum(axis=0)[:, None])
+    weight = 1 / ((within * within).mean(axis=0) + LEAST_VARIANCE)
+    away = (z * z) @ weight - 2 * means @ (z * weight).T
+    return share[away.argmin(axis=1)]
+
+
+def fit_mixture(stats: DataFrame, key: str, components: int = COMPONENTS, rounds: int = ROUNDS, sample: int = SAMPLE) -> Mixture:
+    """Fit to all written rows and the examples; the driver gets one row of sums a component and round.
+
+    Only where the components start depends on a sample, ``sample`` rows by the hash of the key; the sums of every round are over all rows.
+    """
+    rows = stats.where("written").select(*STATISTICS)
+    labelled, share, names = _examples()
+    few = stats.where("written").orderBy(F.xxhash64(key), key).limit(sample).select(*STATISTICS).collect()
+    own = _transformed(labelled)
+    d = len(STATISTICS)
+    total = _added(rows, _moments)[0] + np.hstack([len(own), own.sum(axis=0), (own**2).sum(axis=0)])
+    centre = total[1 : d + 1] / total[0]
+    scale = np.sqrt(np.maximum(0.0, total[d + 1 :] / total[0] - centre**2)) + 1e-3
+    mixture = Mixture(centre, scale, np.empty(0), np.empty(0), np.empty(0), None, names)
+    z = mixture.standardised(labelled)
+    means = _starts(np.vstack([mixture.standardised(np.array(few, float)), z]) if few else z, components)
+    k = len(means)
+    mixture.weights, mixture.means, mixture.variances = np.full(k, 1 / k), means, np.full((k, d), START_VARIANCE)
     for _ in range(rounds):
-        sums = rows.mapInArrow(_sums(mixture), schema).groupBy("k").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(2 * d + 1))).collect()
-        if not sums:
-            break
-        total = np.zeros((k, 2 * d + 1))
-        for row in sums:
-            total[row[0]] = row[1:]
-        # The examples stay in as a few rows of their own, so that a kind the collection lacks keeps its place.
-        weight = 3.0 + 0.002 * total[:, 0].sum()
-        n = total[:, 0] + weight
-        mean = (total[:, 1 : d + 1] + weight * means) / n[:, None]
-        square = (total[:, d + 1 :] + weight * (spread + means**2)) / n[:, None]
-        mixture = Mixture(centre, scale, n / n.sum(), mean, np.maximum(square - mean**2, LEAST_VARIANCE))
-    votes: list[dict[str, float]] = [{} for _ in range(k)]
-    for family, e in zip(families, examples):
-        for c, p in enumerate(mixture.responsibilities(e).mean(axis=0)):
-            votes[c][EXAMPLES[family][0]] = votes[c].get(EXAMPLES[family][0], 0.0) + float(p)
-    mixture.kinds = [max(v, key=lambda kind: (v[kind], kind)) for v in votes]
+        sums = _added(rows, _sums(mixture))
+        sums = (sums if len(sums) == k else np.zeros((k, 2 * d + 1))) + _expected(mixture, z)
+        n = sums[:, :1]
+        mean = np.where(n > 1e-3, sums[:, 1 : d + 1] / np.maximum(n, 1e-9), mixture.means)
+        variance = np.maximum(0.0, sums[:, d + 1 :] / np.maximum(n, 1e-9) - mean**2)
+        mixture.means, mixture.variances = mean, (variance * n + START_ROWS * START_VARIANCE) / (n + START_ROWS) + LEAST_VARIANCE
+        mixture.weights = (n[:, 0] + 0.5) / (n + 0.5).sum()
+    # A component that explains no example has the kind of the one nearest to its mean.
+    votes = mixture.responsibilities(z).T @ share
+    nearest = _nearest(z, share, mixture.means)
+    explained = votes.sum(axis=1, keepdims=True)
+    mixture.kinds = np.where(explained >= 0.2, votes / np.maximum(explained, 1e-9), nearest)
     return mixture
 
 
 def _named(mixture: Mixture):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = sorted(set(mixture.kinds))
-        member = np.array([[k == name for name in kinds] for k in mixture.kinds], float)
         for batch in batches:
             at = np.asarray(batch.column("written").to_numpy(zero_copy_only=False), bool)
-            x = np.column_stack([np.asarray(batch.column(s)) for s in FITTED])
-            p = (mixture.responsibilities(x) if len(x) else np.empty((0, len(mixture.kinds)))) @ member
-            best = p.argmax(axis=1) if len(p) else np.empty(0, int)
-            kind = pa.array([kinds[b] if w else None for b, w in zip(best, at)], type=pa.string())
-            chance = pa.array(np.where(at, np.round(p.max(axis=1), 6), 0.0) if len(p) else [], type=pa.float64())
+            p = mixture.responsibilities(mixture.standardised(_block(batch))) @ mixture.kinds
+            kind = pa.array([mixture.names[b] if w else None for b, w in zip(p.argmax(axis=1), at)], type=pa.string())
+            chance = pa.array(np.where(at, np.round(p.max(axis=1, initial=0.0), 6), 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns, kind, chance], names=[*batch.schema.names, "kind", "probability"])
 
     return run
@@ -285,5 +301,5 @@ def _named(mixture: Mixture):
 def text_kinds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics, kind (``prose``, ``list``, ``table``, ``junk``; null for blank texts) and its probability, of every row."""
     stats = written(text_statistics(docs, key, text), "stats")
-    mixture = fit_mixture(stats)
+    mixture = fit_mixture(stats, key)
     return stats.mapInArrow(_named(mixture), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields) + ", kind string, probability double")

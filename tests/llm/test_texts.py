@@ -246,4 +246,15 @@ def test_kinds_edges(spark):
 
 def test_statistics():
     s = dict(zip(quality.STATISTICS, quality.statistics("The cat sat. The dog ran!\nIt was 12.")))
-    assert s["words"] == 8 and s["ended_lines"] == 1 and s["sentence_share"] > 0 and 0 < s["digit_ratio"] < 0.1
+    assert s["words"] == 8 and s["ended_lines"] == 1 and s["stops"] == 3 / 9 and 0 < s["digit_ratio"] < 0.1 and s["lines"] == 2 and s["longest_line"] == 6
+    rows = dict(zip(quality.STATISTICS, quality.statistics("a|b|c\n1|2|3\nx|y|z\nend")))
+    assert rows["cells"] == 2 and rows["even_cells"] == 15 / 18 and rows["mid_words"] == 3
+
+
+def test_mixture_needs_no_examples_to_fit(spark):
+    """Components come from the texts; the examples only name them."""
+    df = spark.createDataFrame([(n, texts[n % len(texts)]) for n, texts in enumerate(list(KINDS.values()) * 30)], "doc_id long, text string")
+    stats = quality.text_statistics(df)
+    few = quality.fit_mixture(stats, "doc_id", components=12, rounds=4)
+    assert few.means.shape == (12, len(quality.STATISTICS)) and abs(few.weights.sum() - 1) < 1e-9
+    assert (abs(few.kinds.sum(axis=1) - 1) < 1e-9).all() and (few.variances > 0).all()
