@@ -33,8 +33,8 @@ _LOGS = ("words", "line_words", "cells", "longest", "mid_words", "low_words", "l
 _ROOTS = ("symbol_ratio", "digit_ratio", "rare_letters", "broken_ratio", "kana_ratio", "commas", "uppercase", "mixed_tokens", "stops", "colons", "slashes", "breaks")
 #: Components, rounds of the fit, rows of the sample that the components start at, largest standardised value.
 COMPONENTS, ROUNDS, SAMPLE, FARTHEST = 96, 8, 4096, 6.0
-#: Variance that a component starts with, rows that it weighs, and what is added to every variance.
-START_VARIANCE, START_ROWS, LEAST_VARIANCE = 0.3, 5.0, 0.02
+#: Variance that a component starts with, the most a parted one has, the rows that the first weighs, and what is added to every variance.
+START_VARIANCE, PARTED_VARIANCE, START_ROWS, LEAST_VARIANCE = 0.3, 0.1, 5.0, 0.02
 
 # Common words of five languages.
 COMMON = frozenset(
@@ -50,13 +50,10 @@ _KANA = re.compile(r"[぀-ヿ]")
 _MARK = re.compile(r"[^\w\s\"'“«(¿¡]|\(?\d{1,4}[.):\]]|\d{1,4} - |\(?[a-zA-Z][.)] ")
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
 _MIXED = re.compile(r"[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z]|[^\w\s.,:;!?'\"()\-/–]{2,}")
-_BREAK = re.compile(r"[,;|·•»>→/]")
 _BROKEN = re.compile(r"�|Ã[\x80-ÿ€-™]|Â[\x80-¿]|[\x00-\x08\x0e-\x1f\x7f-\x9f]")
-_RARE = re.compile(r"[qxzjwvk]")
-_VOWEL = re.compile(r"[aeiouyäöüáéíóúàèâêîôûœæ]")
 #: What may part the cells of a line, besides wide gaps and commas without a space.
 _PARTS = ("|", "\t", ";", "&", "</t")
-_STOPS = ".!?…。！？"
+_STOPS, _BREAKS, _VOWELS = ".!?…。！？", ",;|·•»>→/", "aeiouyAEIOUYäöüáéíóúàèâêîôû"
 _ENDS = frozenset(_STOPS + "\"”»:")
 
 
@@ -92,33 +89,36 @@ def _evenness(lines: list[str], sizes: list[int], text: str) -> tuple[float, int
 
 def statistics(text: str) -> list[float]:
     """The statistics of a text that is not blank, whole."""
-    total, lower = len(text), text.lower()
-    found = _WORDS.findall(lower)
-    n, letters, tokens = len(found), sum(map(len, found)), text.split()
-    ink = sum(map(len, tokens))
-    plain = text.isascii()
-    kana = 0 if plain else len(_KANA.findall(text))
-    digits = sum(map(text.count, "0123456789"))
+    total, plain = len(text), text.isascii()
     raw = text.encode("utf-8", "surrogatepass")
+    held = np.bincount(np.frombuffer(raw, np.uint8), minlength=128).tolist()  # bytes below 128 are characters
     lines = [x.strip() for x in text.splitlines() if x and not x.isspace()]
     sizes = list(map(len, lines))
-    own = [found] if len(lines) == 1 else [_WORDS.findall(x.lower()) for x in lines]
+    own = [_WORDS.findall(x.lower()) for x in lines]
     counts = list(map(len, own))
-    common = [sum(w in COMMON for w in x) for x in own]
+    found = [w for x in own for w in x] if len(own) > 1 else own[0]
+    widths = np.fromiter(map(len, found), np.int64, len(found))
+    n, letters, tokens = len(found), int(widths.sum()), text.split()
+    ink = sum(map(len, tokens))
+    kana = 0 if plain else len(_KANA.findall(text))
+    digits = sum(held[48:58])
+    common = [sum(map(COMMON.__contains__, x)) for x in own]
     shares = [min(1.0, (c / k if k else 0.0) + (len(_KANA.findall(x)) / len(x) if kana else 0.0)) for c, k, x in zip(common, counts, lines)]
     logs = np.log1p(counts)
     even, cells = _evenness(lines, sizes, text)
     ended = [x[-1] in _ENDS for x in lines]
     pairs = max(0, n - 1)
+    marks = lambda chars: sum(held[ord(c)] if c < "\x80" else 0 if plain else text.count(c) for c in chars)
     by_token = lambda k: min(1.0, k / len(tokens))
+    by_letter = lambda k: min(1.0, k / letters) if letters else 0.0
     return [
         float(n), min(25.0, letters / n) if n else 0.0, max(0, ink - letters - digits) / ink, digits / ink, sum(ended) / len(lines), min(1.0, (sum(common) + kana / 3) / n) if n else 0.0,
         len(set(found)) / n**0.8 if n else 0.0, float(np.expm1(logs.mean())), float(logs.std()), min(1.2, len(zlib.compress(raw, 1)) / len(raw)),
-        len(_RARE.findall(lower)) / letters if letters else 0.0, 0.0 if plain else min(1.0, len(_BROKEN.findall(text)) / total * 5), sum(_MARK.match(x) is not None for x in lines) / len(lines),
-        min(1.0, kana / ink * 2), even, float(cells), by_token(text.count(",")), min(1.0, sum(map(str.isupper, text)) / max(1, letters)), by_token(sum(_MIXED.search(t) is not None for t in tokens)),
-        float(max(map(len, tokens))), len(_VOWEL.findall(lower)) / letters if letters else 0.0, 1 - len(set(lines)) / len(lines), _quantile(shares, sizes, 0.5), _quantile(shares, sizes, 0.25),
-        float(_quantile(counts, sizes, 0.5)), float(_quantile(counts, sizes, 0.25)), by_token(sum(map(text.count, _STOPS))), by_token(text.count(":")), by_token(text.count("/") + text.count("_") + text.count("=")),
-        by_token(len(_BREAK.findall(text))), sum(x[0].isupper() for x in lines) / len(lines), sum(len(w) <= 3 for w in found) / n if n else 0.0, sum(s for s, e in zip(sizes, ended) if e) / sum(sizes),
+        by_letter(marks("qxzjwvkQXZJWVK")), 0.0 if plain else min(1.0, len(_BROKEN.findall(text)) / total * 5), sum(_MARK.match(x) is not None for x in lines) / len(lines),
+        min(1.0, kana / ink * 2), even, float(cells), by_token(held[44]), by_letter(sum(held[65:91])), by_token(len(_MIXED.findall(text))),
+        float(max(map(len, tokens))), by_letter(marks(_VOWELS)), 1 - len(set(lines)) / len(lines), _quantile(shares, sizes, 0.5), _quantile(shares, sizes, 0.25),
+        float(_quantile(counts, sizes, 0.5)), float(_quantile(counts, sizes, 0.25)), by_token(marks(_STOPS)), by_token(held[58]), by_token(marks("/_=")),
+        by_token(marks(_BREAKS)), sum(x[0].isupper() for x in lines) / len(lines), int((widths <= 3).sum()) / n if n else 0.0, sum(s for s, e in zip(sizes, ended) if e) / sum(sizes),
         float(len(lines)), 1 - ink / total, float(max(counts)), 1 - len(set(zip(found, found[1:]))) / pairs if pairs else 0.0,
     ]
 
@@ -252,10 +252,27 @@ def _nearest(z: np.ndarray, share: np.ndarray, means: np.ndarray) -> np.ndarray:
     return share[away.argmin(axis=1)]
 
 
+def _parted(mixture: Mixture, z: np.ndarray, share: np.ndarray) -> None:
+    """Part every component that explains examples of several kinds: one a kind, at the mean of its examples."""
+    p = mixture.responsibilities(z)
+    votes = p.T @ share
+    clear = votes >= np.maximum(0.5, 0.1 * votes.sum(axis=1, keepdims=True))
+    mixed = np.nonzero(clear.sum(axis=1) > 1)[0]
+    if not len(mixed):
+        return
+    k, kind = np.nonzero(clear[mixed])
+    k = mixed[k]
+    part = p[:, k] * share[:, kind]
+    rest = np.setdiff1d(np.arange(len(mixture.weights)), mixed)
+    mixture.means = np.vstack([mixture.means[rest], (part.T @ z) / part.sum(axis=0)[:, None]])
+    mixture.variances = np.vstack([mixture.variances[rest], np.minimum(mixture.variances[k], PARTED_VARIANCE)])
+    mixture.weights = np.append(mixture.weights[rest], mixture.weights[k] / clear[k].sum(axis=1))
+
+
 def fit_mixture(stats: DataFrame, key: str, components: int = COMPONENTS, rounds: int = ROUNDS, sample: int = SAMPLE) -> Mixture:
     """Fit to all written rows and the examples; the driver gets one row of sums a component and round.
 
-    Only where the components start depends on a sample, ``sample`` rows by the hash of the key; the sums of every round are over all rows.
+    Halfway, components that explain examples of several kinds are parted.  Only where the components start depends on a sample, ``sample`` rows by the hash of the key; the sums of every round are over all rows.
     """
     rows = stats.where("written").select(*STATISTICS)
     labelled, share, names = _examples()
@@ -270,7 +287,10 @@ def fit_mixture(stats: DataFrame, key: str, components: int = COMPONENTS, rounds
     means = _starts(np.vstack([mixture.standardised(np.array(few, float)), z]) if few else z, components)
     k = len(means)
     mixture.weights, mixture.means, mixture.variances = np.full(k, 1 / k), means, np.full((k, d), START_VARIANCE)
-    for _ in range(rounds):
+    for turn in range(rounds):
+        if turn in (rounds // 4, rounds // 2):
+            _parted(mixture, z, share)
+            k = len(mixture.weights)
         sums = _added(rows, _sums(mixture))
         sums = (sums if len(sums) == k else np.zeros((k, 2 * d + 1))) + _expected(mixture, z)
         n = sums[:, :1]
