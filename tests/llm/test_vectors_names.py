@@ -192,6 +192,10 @@ SAME = [
 ORGS = [["Brinkoval Foods LLC", "Brinkoval Foods", "The Brinkoval Foods LLC", "BRINKOVAL FOODS, LLC", "Brinkovla Foods LLC", "BrinkovalFoods"], ["Brinkoval Optics LLC", "Brinkoval Opt."], ["University of Tromplagen", "Tromplagen Univ."], ["Dalkrimo Software & Energy AG", "Dalkrimo SW and Energy"]]
 
 
+#: Organisations of whose names the lines of business are learned.
+OTHERS = [f"{lead} {line}" for line in ("Foods", "Optics", "Software", "Energy", "University", "Freight") for lead in ("Wendrash", "Kilpomar", "Stubrenga", "Oxfalind")]
+
+
 def entities(spark, extra=()):
     rows, want, kind = [], set(), ["person", "PER", "People"]
     for groups, kinds in ((SAME, kind), (ORGS, ["org", "Company", "organisation"])):
@@ -201,7 +205,7 @@ def entities(spark, extra=()):
                 ids.append(len(rows) + 1)
                 rows.append((len(rows) + 1, kinds[n % 3], name))
             want |= {(a, b) for a in ids for b in ids if a < b}
-    rows += [(900, "location", "Robert Flendorvik"), (901, None, "Bob Flendorvik"), (902, "person", None), (903, "person", "  "), (904, "nil", "x"), (None, "person", "Bob Flendorvik"), *extra]
+    rows += [(900, "location", "Robert Flendorvik"), (901, None, "Bob Flendorvik"), (902, "person", None), (903, "person", "  "), (904, "nil", "x"), (None, "person", "Bob Flendorvik"), *((2000 + n, "org", name) for n, name in enumerate(OTHERS)), *extra]
     return spark.createDataFrame(rows + rows[:2], "id long, type string, name string").withColumn("form", F.lit("clash")).withColumn("kind", F.lit(1)), want
 
 
@@ -211,7 +215,7 @@ def test_names(spark):
     got = {tuple(r) for r in names.name_pairs(df, forms).collect()}
     assert got == want, (sorted(want - got), sorted(got - want))
     groups = names.name_groups(df, forms).collect()
-    assert len(groups) == sum(map(len, SAME + ORGS)) and all(r.group_id <= r.id for r in groups)
+    assert len(groups) == sum(map(len, SAME + ORGS)) + len(OTHERS) and all(r.group_id <= r.id for r in groups)
 
 
 def test_vague_initials_and_nothing(spark):
@@ -240,16 +244,47 @@ def test_a_slip_anywhere_meets_however_common_the_ending(spark):
     assert got >= {(1, 2), (3, 4), (5, 6), (7, 8)}
 
 
-def test_accepted_anchors_share_a_key():
+def test_one_slip_shares_a_key_however_common_the_suffixes(spark, monkeypatch):
+    """A letter more, less, other or swapped, anywhere; with suffixes of few anchors as keys, and with all refined."""
     rng = np.random.default_rng(1)
-    for _ in range(3000):
-        a = "".join(rng.choice(list("abrnm"), rng.integers(1, 19)))
-        b = list(a)
-        for _ in range(rng.integers(0, 4)):
-            at = int(rng.integers(0, len(b) + 1))
-            b[at : at + int(rng.integers(0, 2))] = rng.choice(list("abrnm"), rng.integers(0, 2)).tolist()
-        b = "".join(b)
-        assert not names.same_anchor(a, b) or names.anchor_keys(a) & names.anchor_keys(b), (a, b)
+    pairs = set()
+    for _ in range(600):
+        a = "".join(rng.choice(list("abrnm"), rng.integers(5, 19)))
+        at = int(rng.integers(0, len(a)))
+        for b in (a[:at] + a[at + 1 :], a[:at] + "t" + a[at:], a[:at] + "t" + a[at + 1 :], a[:at] + a[at : at + 2][::-1] + a[at + 2 :]):
+            pairs.add((a, b))
+    anchors = spark.createDataFrame([("p", x) for x in sorted({x for p in pairs for x in p})], "kind string, a string")
+    for common in (60, 3, 0):
+        monkeypatch.setattr(names, "COMMON", common)
+        keys = {}
+        for r in names.blocking_keys(anchors).collect():
+            keys.setdefault(r.a, set()).add(r.key)
+            assert common or not r.bare
+        for a, b in pairs:
+            assert names.same_anchor(a, b) and keys[a] & keys[b], (common, a, b)
+
+
+def test_two_slips_in_long_anchors_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(names, "COMMON", 0)
+    rng = np.random.default_rng(2)
+    pairs = set()
+    for _ in range(200):
+        a = "".join(rng.choice(list("abrnmot"), rng.integers(16, 22)))
+        x, y = sorted(rng.choice(len(a), 2, replace=False))
+        pairs.add((a, a[:x] + "w" + a[x + 1 : y] + "w" + a[y + 1 :]))
+    anchors = spark.createDataFrame([("p", x) for x in sorted({x for p in pairs for x in p})], "kind string, a string")
+    keys = {}
+    for r in names.blocking_keys(anchors).collect():
+        keys.setdefault(r.a, set()).add(r.key)
+    assert all(names.same_anchor(a, b) and keys[a] & keys[b] for a, b in pairs)
+
+
+def test_lines_are_learned():
+    lines = names.Lines({"foods": 9, "fds": 2, "food": 3, "llc": 20, "institute": 5, "insurance": 8, "ins": 4, "inst": 3, "brand": 2}, 5)
+    assert set(lines.weight) == {"foods", "institute", "insurance"} and lines.short == {"fds": "foods", "food": "foods", "ins": "insurance", "inst": "institute"}
+    assert lines.known("llc") == "" and lines.known("brand") is None and lines.known("insurence") == "insurance" and lines.known("insu") == "insurance"
+    assert not names.abbreviates("foods", "foods") and names.abbreviates("mfg", "manufacturing") and not names.abbreviates("optc", "topics")
+    assert names.Lines({}, 3).known("foods") is None
 
 
 def test_subsequence():
