@@ -275,7 +275,9 @@ def blocking_keys(anchors: DataFrame) -> DataFrame:
     shortest = few.groupBy("kind", "a").agg(F.min(F.length("suffix")).alias("least"))
     bounded = anchors.join(shortest, ["kind", "a"], "left").select("kind", "a", F.coalesce("least", F.length("a")).cast("int").alias("least"))
     refined = spread(bounded).mapInArrow(_refined, "kind string, a string, key string").select("kind", "a", F.xxhash64("kind", F.lit("refined"), "key").alias("key"), F.lit(False).alias("bare"))
-    keys = written(few.select("kind", "a", F.xxhash64("kind", "suffix").alias("key"), F.lit(True).alias("bare")).unionByName(refined), "keys")
+    # What share a longer suffix share the shortest one too, which is that of both.
+    bare = shortest.select("kind", "a", F.xxhash64("kind", F.expr("right(a, least)")).alias("key"), F.lit(True).alias("bare"))
+    keys = written(bare.unionByName(refined), "keys")
     for table in (indexed, common, few):
         dropped(table)
     return keys
@@ -397,6 +399,10 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     sides = written(readings.select("kind", "a", "s").distinct(), "sides")
     keyed = blocking_keys(written(sides.select("kind", "a").where("a <> ''").distinct(), "anchors")).select("kind", "a", "key").distinct()
     near = keyed.join(keyed.select("key", F.col("kind").alias("other"), F.col("a").alias("b")), "key").where("kind = other AND a < b").select("kind", "a", "b").distinct()
+    # The common subsequence bounds the difference of the lengths and, but for letters read alike, the number of edits.
+    longer, plain_ = F.greatest(F.length("a"), F.length("b")), lambda c: F.replace(F.replace(F.col(c), F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
+    edits = F.when(longer >= 16, (F.abs(F.length("a") - F.length("b")) <= 2) & (F.levenshtein("a", "b", 4) >= 0)).otherwise((F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0))
+    near = near.where(edits | (plain_("a") == plain_("b")))
     alike = near.mapInArrow(_alike, "kind string, a string, b string").union(sides.select("kind", "a", F.col("a").alias("b")).distinct())
     met = alike.join(sides, ["kind", "a"]).join(sides.select("kind", F.col("a").alias("b"), F.col("s").alias("t")), ["kind", "b"]).where("a < b OR s <= t").select("kind", "a", "b", "s", "t")
     if sides.groupBy("kind", "a").count().where(F.col("count") > CROWDED).limit(1).count():
