@@ -34,8 +34,8 @@ CROWDED = 60
 #: A line of business stands behind this share of all leading words, and three at least; its short forms behind this share, and two.  So
 #: the driver gets a few hundred lines and a few thousand short forms, however large the collection.
 LINE_SHARE, SHORT_SHARE = 0.003, 0.0005
-#: A given name that may be glued occurs in this share of the persons' names, and five at least.
-GIVEN_SHARE = 0.001
+#: A given name that may be glued occurs in this share of the persons' names, and five at least; in so many it is one of very many people.
+GIVEN_SHARE, SHARED = 0.001, 40
 #: Largest table of familiar forms that is held on the driver.
 MOST_FORMS = 100_000
 
@@ -67,8 +67,11 @@ def _read_alike(anchor: str) -> str:
     return anchor.replace("rn", "m").replace("vv", "w")
 
 
-def read_person(name: str, short: dict[str, str], given: frozenset[str]) -> list[tuple[str, str]]:
-    """Readings (anchor, side) of a person's name; the side is a given name, the start of one, or an initial."""
+def read_person(name: str, short: dict[str, str], given: frozenset[str], shared: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
+    """Readings (anchor, side) of a person's name; the side is a given name, the start of one, or an initial.
+
+    ``given`` are names that may be glued, ``shared`` those of very many people.
+    """
     text = re.sub(r"\([^)]*\)", " ", fold(name))
     handle = " " not in text and ("@" in text or "_" in text or re.fullmatch(r"[a-z'-]+\.[a-z'-]+", text) is not None)
     parts = text.split(",")
@@ -104,6 +107,8 @@ def read_person(name: str, short: dict[str, str], given: frozenset[str]) -> list
                     out.append((a, s))
         if rest and len(long_) > 1 and any(w in short or len(w) > 2 for w in rest):
             out.append(("".join(long_), next(w for w in rest if w in short or len(w) > 2)))
+    # A name of very many people leads no one if another word can: they would all meet at it.
+    out = [(x, y) for x, y in out if x not in shared] or out
     # A particle may be glued to the family name.
     out += [(a[len(p) :], s) for a, s in out for p in ("van", "de") if a.startswith(p) and len(a) - len(p) >= 6]
     return list(dict.fromkeys(out))
@@ -343,12 +348,12 @@ def learned_lines(plain: DataFrame) -> Lines:
     return Lines({r.word: r.n for r in counts}, max(3.0, LINE_SHARE * leading))
 
 
-def _readings(short: dict[str, str], given: frozenset[str], lines: Lines):
+def _readings(short: dict[str, str], given: frozenset[str], shared: frozenset[str], lines: Lines):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for form, kind, name in zip(*(c.to_pylist() for c in batch.columns)):
-                found = read_person(name, short, given) if kind == "p" else read_organisation(name, lines)
+                found = read_person(name, short, given, shared) if kind == "p" else read_organisation(name, lines)
                 for a, s in found:
                     for column, value in zip(out, (form, kind, a, s)):
                         column.append(value)
@@ -391,11 +396,13 @@ def name_links(entities: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFr
     distinct = written(members.select("form", "kind", "plain").distinct(), "forms")
     # Given names that many forms share, to part glued names: at most 1 / GIVEN_SHARE times the words of a name.
     persons = distinct.where("kind = 'p'")
+    people = persons.count()
     tokens = persons.select(F.explode(F.array_distinct(F.split("plain", r"[^\p{L}]+"))).alias("w")).where(F.length("w") >= 3)
-    frequent = tokens.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(5.0, GIVEN_SHARE * persons.count())).collect()
+    frequent = tokens.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(5.0, GIVEN_SHARE * people)).collect()
     given = frozenset(x for x in {*(_squash(fold(r.w)) for r in frequent), *short.values()} if 3 <= len(x) and x not in TITLES and x not in PARTICLES)
+    shared = frozenset(_squash(fold(r.w)) for r in frequent if r.n >= max(SHARED, GIVEN_SHARE * people))
     lines = learned_lines(spread(distinct.where("kind = 'o'").select("plain")))
-    readings = written(spread(distinct.select("form", "kind", "plain")).mapInArrow(_readings(short, given, lines), "form long, kind string, a string, s string"), "readings")
+    readings = written(spread(distinct.select("form", "kind", "plain")).mapInArrow(_readings(short, given, shared, lines), "form long, kind string, a string, s string"), "readings")
     sides = written(readings.select("kind", "a", "s").distinct(), "sides")
     keyed = blocking_keys(written(sides.select("kind", "a").where("a <> ''").distinct(), "anchors")).select("kind", "a", "key").distinct()
     near = keyed.join(keyed.select("key", F.col("kind").alias("other"), F.col("a").alias("b")), "key").where("kind = other AND a < b").select("kind", "a", "b").distinct()
