@@ -15,8 +15,8 @@ SPECS = [
 ]
 
 
-def ledger(spark: SparkSession, folder: str, cuts: tuple[str, ...] = ("2025-01-01",)) -> OrphanLedger:
-    """State after all rows, taken in one batch before each cut in time and one after the last."""
+def ledger(spark: SparkSession, folder: str, batches: int = 2) -> OrphanLedger:
+    """State after all rows, taken in batches of equal spans of the edges' time."""
     read = lambda t, *c: spark.read.parquet(f"{folder}/{t}.parquet").select(*c)
     tables = {
         "graph_edges": read("graph_edges", "id", "from_id", "to_id", "inserted_at"),
@@ -29,7 +29,8 @@ def ledger(spark: SparkSession, folder: str, cuts: tuple[str, ...] = ("2025-01-0
         parents = one if parents is None else parents.unionByName(one)
     deletions = read("deletion_log", F.col("tab").alias("target"), F.col("rec_id").alias("key"), F.col("deleted_at").alias("at"))
     out = OrphanLedger(spark)
-    times = [F.lit(c).cast("timestamp_ntz") for c in cuts]
+    first, last = tables["graph_edges"].agg(F.min("inserted_at"), F.max("inserted_at")).first()
+    times = [F.lit(first + (last - first) * k / batches) for k in range(1, batches)] if first else []
     for low, high in zip([None, *times], [*times, None]):
 
         def part(df: DataFrame, at: str, low=low, high=high) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime as D
 
 import pytest
@@ -73,3 +74,37 @@ def test_empty(spark, batch):
     empty = {"refs": refs(spark, []), "arrivals": at(spark, []), "deletions": at(spark, [])}
     ledger = OrphanLedger(spark).ingest(**{k: empty[k] for k in batch})
     assert ledger.orphans().count() == 0 and ledger.snapshot().count() == 0
+
+
+def test_repeated_references_in_any_order_and_a_restart(spark):
+    """The earliest time of a repeated reference counts whatever the batches, and another process goes on from the folder."""
+    rng = random.Random(5)
+    rows = [("e", "f", rng.randrange(12), rng.randrange(9), "t", D(2024, rng.randrange(1, 13), 1)) for _ in range(80)]
+    born = [("t", rng.randrange(9), D(2024, rng.randrange(1, 13), 2)) for _ in range(12)]
+    gone = [("t", rng.randrange(9), D(2024, rng.randrange(1, 13), 3)) for _ in range(6)]
+    states = []
+    for _ in range(3):
+        steps = [("refs", rows[k::3]) for k in range(3)] + [("arrivals", born[k::2]) for k in range(2)] + [("deletions", gone)]
+        rng.shuffle(steps)
+        ledger = OrphanLedger(spark)
+        for n, (kind, part) in enumerate(steps):
+            if n == 3:
+                ledger = OrphanLedger(spark, ledger.folder)
+            ledger.ingest(**{kind: (refs if kind == "refs" else at)(spark, part)})
+        states.append(kinds(ledger))
+        assert len(ledger.snapshots()) == len(steps) and sum(r.n for r in ledger.snapshot().collect()) == len(states[-1])
+        ledger.vacuum()
+        assert kinds(OrphanLedger(spark, ledger.folder)) == states[-1]
+        ledger.close()
+    assert states[0] == states[1] == states[2] and len(states[0]) > 10
+
+
+def test_only_touched_buckets_are_written_and_two_writers_do_not_mix(spark):
+    ledger = OrphanLedger(spark).ingest(refs(spark, [("e", "f", n, n, "t", D(2024, 1, 1)) for n in range(200)]))
+    assert len(ledger.current["refs"]) == ledger.buckets
+    other = OrphanLedger(spark, ledger.folder)
+    ledger.ingest(arrivals=at(spark, [("t", 7, D(2023, 1, 1))]))
+    assert sum(v.startswith("v2-") for v in ledger.current["refs"].values()) == 1 and ledger.orphans().count() == 199
+    with pytest.raises(RuntimeError):
+        other.ingest(arrivals=at(spark, [("t", 8, D(2023, 1, 1))]))
+    assert OrphanLedger(spark, ledger.folder).orphans().count() == 199
