@@ -1,13 +1,15 @@
-"""Tables as immutable Parquet snapshots with a pointer to the current one.
+"""Tables as immutable Parquet parts with numbered pointers.
 
-A change writes a new snapshot and then moves the pointer, so readers see the old or the new table and a
-lost executor leaves nothing behind but an unnamed folder.  Appends add a part to the snapshot's list.
+A change writes new parts and then a pointer with the next number, which fails if another writer was faster: such a change is tried again
+on what that one wrote.  Readers follow the last finished pointer, so they see the old or the new table; a crash leaves nothing
+behind but an unnamed folder.  Appends add a part; deletes and updates write anew only the parts that hold a row they change.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ from pyspark.sql import types as T
 from sagebrook import schemas
 from sagebrook.operators import search
 from sagebrook.operators.positions import positions
+from sagebrook.storage import numbers, read_numbered, write_new
+
+#: How often a change is tried while other writers are faster.
+ATTEMPTS = 10
 
 
 class SnapshotTable:
@@ -24,36 +30,34 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "id"):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _parts(self) -> list[str]:
-        fs, at = self._fs()
-        if not fs.exists(at):
-            return []
-        stream = fs.open(at)
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return json.loads(text)["parts"]
-
-    def _point(self, parts: list[str]) -> None:
-        fs, at = self._fs()
-        new = at.suffix(f".{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"parts": parts}).encode()))
-        out.close()
-        fs.delete(at, False)
-        if not fs.rename(new, at):
-            raise RuntimeError(f"another writer holds {self.path}")
-
-    def read(self) -> DataFrame:
-        parts = self._parts()
+    def _current(self) -> tuple[int, dict]:
+        """(number to build on, state): parts, and the last batch of every stream."""
+        taken = max(numbers(self.spark, f"{self.path}/pointers"), default=0)
+        held = read_numbered(self.spark, f"{self.path}/pointers")
+        return taken, json.loads(held) if held else {"parts": [], "batches": {}}
+
+    def _changed(self, change: Callable[[dict], tuple[dict, int]]) -> int:
+        """Apply ``change(state) -> (new state, rows)`` to the newest state, again while other writers are faster."""
+        for _ in range(ATTEMPTS):
+            taken, state = self._current()
+            new, n = change(state)
+            if new == state:
+                return n
+            try:
+                write_new(self.spark, f"{self.path}/pointers", taken + 1, json.dumps(new))
+                return n
+            except RuntimeError:
+                continue
+        raise RuntimeError(f"other writers hold {self.path}")
+
+    def _of(self, parts: list[str]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{p}" for p in parts))
 
+    def read(self) -> DataFrame:
+        return self._of(self._current()[1]["parts"])
+
     def _write(self, df: DataFrame) -> tuple[str, int]:
         part, seen = f"part-{uuid.uuid4().hex}", Observation()
         df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).observe(seen, F.count("*").alias("n")).write.parquet(f"{self.path}/{part}")
@@ -74,7 +78,7 @@ class SnapshotTable:
             df = df.withColumn(f.name, column)
         return df
 
-    def _numbered(self, df: DataFrame) -> DataFrame:
+    def _numbered(self, df: DataFrame, parts: list[str]) -> DataFrame:
         """Keys for rows without one, above the largest stored or given key; each partition counts from its own offset."""
         if self.key in df.columns:
             named, unnamed = df.where(F.col(self.key).isNotNull()), df.where(F.col(self.key).isNull())
@@ -82,39 +86,72 @@ class SnapshotTable:
             named, unnamed = None, df.withColumn(self.key, F.lit(None).cast("long"))
         if unnamed.limit(1).count() == 0:
             return df
-        highest = self.read().agg(F.max(self.key)).first()[0] or 0
+        highest = self._of(parts).agg(F.max(self.key)).first()[0] or 0
         if named is not None:
             highest = max(highest, named.agg(F.max(self.key)).first()[0] or 0)
         given = positions(unnamed.drop(self.key), None, self.key, highest + 1)
         return given if named is None else named.unionByName(given, allowMissingColumns=True)
 
-    def insert(self, df: DataFrame) -> int:
-        """Append rows; returns how many."""
-        part, n = self._write(self._filled(self._numbered(df)))
-        self._point([*self._parts(), part])
-        return n
+    def insert(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Append rows; returns how many.  A ``batch`` (stream, number) that is not above the stream's last one was stored before: it is left out."""
+
+        def change(state: dict) -> tuple[dict, int]:
+            if batch is not None and state["batches"].get(batch[0], -1) >= batch[1]:
+                return state, 0
+            part, n = self._write(self._filled(self._numbered(df, state["parts"])))
+            return {"parts": [*state["parts"], part], "batches": state["batches"] | (dict([batch]) if batch else {})}, n
 
-    def get(self, keys: list) -> DataFrame:
+        return self._changed(change)
+
+    def _touched(self, parts: list[str], keys: DataFrame) -> list[str]:
+        """The parts that hold a row of one of the keys."""
+        if not parts:
+            return []
+        files = self._of(parts).withColumn("__file", F.input_file_name()).join(keys, self.key, "left_semi").select(F.element_at(F.split("__file", "/"), -2).alias("part")).distinct()
+        hit = {r.part for r in files.collect()}  # as many rows as there are parts
+        return [p for p in parts if p in hit]
+
+    def _keys(self, keys: list | DataFrame) -> DataFrame:
+        if isinstance(keys, DataFrame):
+            return keys.select(F.col(keys.columns[0]).cast(self.schema[self.key].dataType).alias(self.key)).where(F.col(self.key).isNotNull()).distinct()
+        return self.spark.createDataFrame([(k,) for k in keys], T.StructType([self.schema[self.key]])).distinct()
+
+    def get(self, keys: list | DataFrame) -> DataFrame:
+        """Rows of a few keys, or of those in the first column of a table."""
         rows = self.read()
+        if isinstance(keys, DataFrame):
+            return rows.join(self._keys(keys), self.key, "left_semi")
         return rows.where(F.col(self.key).isin(keys)) if keys else rows.where("false")
 
     def delete(self, keys: list | DataFrame) -> int:
         """Delete by key; returns how many rows went."""
-        rows = self.read()
-        gone = keys.select(F.col(keys.columns[0]).alias(self.key)).distinct() if isinstance(keys, DataFrame) else None
-        before = rows.count()
-        kept = rows.join(gone, self.key, "left_anti") if gone is not None else rows.where(~F.col(self.key).isin(keys)) if keys else rows
-        part, n = self._write(kept)
-        self._point([part])
-        return before - n
+        gone = self._keys(keys)
+
+        def change(state: dict) -> tuple[dict, int]:
+            touched = self._touched(state["parts"], gone)
+            if not touched:
+                return state, 0
+            rows = self._of(touched)
+            part, n = self._write(rows.join(gone, self.key, "left_anti"))
+            return state | {"parts": [*(p for p in state["parts"] if p not in touched), part]}, rows.count() - n
+
+        return self._changed(change)
 
     def update(self, values: DataFrame, column: str) -> None:
         """Set a column of the rows that ``values(key, column)`` names."""
-        rows = self.read()
         new = values.select(self.key, F.col(column).alias("__new"), F.lit(True).alias("__hit"))
-        joined = rows.join(new, self.key, "left").withColumn(column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column)))
-        part, _ = self._write(joined.withColumn("updated_at", F.when(F.col("__hit"), F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz")).otherwise(F.col("updated_at"))) if "updated_at" in rows.columns else joined)
-        self._point([part])
+
+        def change(state: dict) -> tuple[dict, int]:
+            touched = self._touched(state["parts"], self._keys(values.select(self.key)))
+            if not touched:
+                return state, 0
+            joined = self._of(touched).join(new, self.key, "left").withColumn(column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column)))
+            if "updated_at" in self.schema.names:
+                joined = joined.withColumn("updated_at", F.when(F.col("__hit"), F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz")).otherwise(F.col("updated_at")))
+            part, n = self._write(joined)
+            return state | {"parts": [*(p for p in state["parts"] if p not in touched), part]}, n
+
+        self._changed(change)
 
 
 def checked(df: DataFrame, problems) -> tuple[DataFrame, DataFrame]:
@@ -129,8 +166,8 @@ class ChunkStore(SnapshotTable):
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path, schemas.CHUNK)
 
-    def insert(self, df: DataFrame) -> int:
-        return super().insert(checked(df, schemas.chunk_problems())[0])
+    def insert(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        return super().insert(checked(df, schemas.chunk_problems())[0], batch)
 
     def search(self, vector: list[float], limit: int = 10) -> DataFrame:
         """Nearest chunks; score 1 / (1 + distance)."""

@@ -93,3 +93,45 @@ def test_positions(spark):
     assert sorted((r.v, r.position) for r in out) == [(n, n + 1) for n in range(1000)]
     assert sorted(r.position for r in positions(df, start=10).collect()) == list(range(10, 1010))
     assert positions(df.where("false"), ["v"]).count() == 0
+
+
+def test_changes_of_two_writers_and_a_crash(spark, tmp_path):
+    """Both writers' rows stay, readers never see half a change, and a batch that is run again is stored once."""
+    a = ChunkStore(spark, f"file://{tmp_path}/c")
+    rows = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "id long, content string")
+    a.insert(rows(1, 2), ("s", 0))
+    assert a.insert(rows(1, 2), ("s", 0)) == 0 and a.insert(rows(3), ("s", 1)) == 1
+    b = ChunkStore(spark, f"file://{tmp_path}/c")
+    real, done = b._write, []
+
+    def slow(df):
+        if not done:
+            done.append(1)
+            a.insert(rows(4))
+        return real(df)
+
+    b._write = slow
+    b.insert(spark.createDataFrame([("five",)], "content string"))
+    assert sorted(r.id for r in a.read().collect()) == [1, 2, 3, 4, 5]
+    (tmp_path / "c" / "pointers" / f"{99:012d}.json").write_text('{"parts": [')
+    assert a.read().count() == 5 and a.insert(rows(6)) == 1 and b.read().count() == 6
+    before = a._current()[1]["parts"]
+    assert a.delete([4]) == 1 and len(set(before) & set(a._current()[1]["parts"])) == len(before) - 1
+    assert a.delete([4]) == 0 and sorted(r.id for r in a.get(rows(1, 4)).collect()) == [1]
+
+
+def test_failed_chunks_are_kept(spark, tmp_path):
+    from sagebrook.streaming.ingest import failures
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Good words here.")
+    (tmp_path / "in" / "b.txt").write_text("bad words here.")
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return [[1.0, 0.0] for _ in texts]
+
+    ingest(documents(spark, str(tmp_path / "in")), store, Sentence(), picky, str(tmp_path / "state")).awaitTermination(120)
+    assert store.read().count() + failures(store).read().count() == 2 and failures(store).read().where("error IS NULL").count() == 0
