@@ -1,8 +1,8 @@
 """Clusters of similar embeddings by grids of their projections.
 
 Method: embeddings are projected on a few random directions and quantised; several grids, turned and
-shifted against each other, are used at once.  Cells are counted in SQL; a cell of one row links nothing
-and is left.  In a dense cell the members that are similar enough hang on its smallest member;
+shifted against each other, are used at once.  Cells are counted in SQL, to spread crowded ones
+over tasks.  In a cell of several rows the members that are similar enough hang on its smallest member;
 cells share members across the grids and are joined through them, and the smallest label spreads
 until nothing changes.  A cluster's typical members are those of its densest cell.
 
@@ -42,10 +42,10 @@ TOGETHER, DENSITY = 0.53, 2.9
 
 def grid_shape(rows: int, threshold: float) -> tuple[int, int]:
     """(directions, grids) for a number of rows."""
-    dims = max(3, min(24, round(math.log(max(1.0, math.sqrt(rows) / CELL_ROWS)) / -math.log(TOGETHER))))
+    dims = max(3, min(DIM, round(math.log(max(1.0, math.sqrt(rows) / CELL_ROWS)) / -math.log(TOGETHER))))
     apart = math.sqrt(2 * (1 - threshold) / DIM) * math.sqrt(2 / math.pi)
     stay = (1 - min(0.9, apart * DENSITY)) ** dims
-    return dims, max(3, min(32, math.ceil(math.log(1 - RECALL) / math.log(1 - stay))))
+    return dims, max(3, math.ceil(math.log(1 - RECALL) / math.log(1 - stay)))
 
 
 def _cells(x: np.ndarray, dims: int, grids: int) -> np.ndarray:

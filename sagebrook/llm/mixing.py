@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from sagebrook.storage import small_enough
+
 #: Largest table of targets that is held on the driver; more targets raise an error.
 MOST_TARGETS = 100_000
 
@@ -26,11 +28,10 @@ def source_key(column: Column) -> Column:
 
 def _cdf(rate: float, cap: int) -> list[float]:
     """P(X <= k) for k below cap."""
-    out, p, total = [], math.exp(-rate), 0.0
+    out, total = [], 0.0
     for k in range(cap):
-        total += p
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
         out.append(min(1.0, total))
-        p *= rate / (k + 1)
     return out
 
 
@@ -45,7 +46,7 @@ def capped_rate(mean: float, cap: int) -> list[float]:
         return [0.0] * cap
     low, high = 0.0, 1.0
     cut = lambda rate: cap - sum(_cdf(rate, cap))
-    while cut(high) < mean and high < 500:
+    while cut(high) < mean:
         high *= 2
     for _ in range(80):
         middle = (low + high) / 2
@@ -95,20 +96,23 @@ def draw_mix(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float
     null or negative weights and repeats count as 0; targets whose keys agree are added up, with the
     larger cap; documents of 0 tokens are drawn like the others; repeated rows are drawn alike.
     """
+    spark = sized.sparkSession
     goal = {r.key: (float(r.w or 0), int(r.m or 0)) for r in targets.select(source_key(F.col("source")).alias("key"), F.greatest("weight", F.lit(0.0)).alias("w"), F.greatest("max_repeats", F.lit(0)).alias("m")).where("key IS NOT NULL").groupBy("key").agg(F.sum("w").alias("w"), F.max("m").alias("m")).limit(MOST_TARGETS + 1).collect()}
     if len(goal) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
-    keyed = sized.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).where(F.col("source").isin(list(goal)))
+    keyed = sized.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    keys = spark.createDataFrame([(s,) for s in sorted(goal)], "source string")
+    keyed = keyed.join(F.broadcast(keys), "source", "left_semi")  # at most MOST_TARGETS names
     have = {r.source: (r.n, r.d) for r in keyed.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("d")).collect()}
     rates = plan_mix({s: n for s, (n, _) in have.items()}, goal, total)
     tables = {s: capped_rate(r, goal[s][1]) for s, r in rates.items()}
-    pairs = [x for s, table in sorted(tables.items()) for x in (F.lit(s), F.array(*map(F.lit, table)))]
-    table = F.element_at(F.create_map(*pairs), F.col("source")) if pairs else F.lit(None).cast("array<double>")
+    drawing = spark.createDataFrame(sorted(tables.items()), "source string, below array<double>")
+    if small_enough(sum(map(len, tables.values())) + len(tables)):
+        drawing = F.broadcast(drawing)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
-    uses = F.size(F.filter(table, lambda c: F.col("__u") >= c))
-    drawn = keyed.where(F.col("source").isin(list(tables))).withColumn("__u", uniform).withColumn("uses", uses).where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
+    uses = F.size(F.filter("below", lambda c: F.col("__u") >= c))
+    drawn = keyed.join(drawing, "source").withColumn("__u", uniform).withColumn("uses", uses).where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
     mix = drawn.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy"), "n_tokens").withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy")).orderBy("shuffle_key", "doc_id", "copy")
-    spark = sized.sparkSession
     rows = [(s, w, m, int(have.get(s, (0, 0))[0] or 0), int(have.get(s, (0, 0))[1]), float(rates.get(s, 0.0))) for s, (w, m) in sorted(goal.items())]
     plan = spark.createDataFrame(rows, "source string, weight double, max_repeats int, available_tokens long, n_documents long, mean_repeats double")
     got = drawn.groupBy("source").agg(F.sum("uses").cast("long").alias("drawn_uses"), F.sum(F.col("uses") * F.col("n_tokens")).cast("long").alias("drawn_tokens"))

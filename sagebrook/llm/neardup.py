@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebrook.operators.components import connected_components
-from sagebrook.storage import dropped, semi_join, spread, written
+from sagebrook.storage import dropped, semi_join, small_enough, spread, written
 
 #: Rounds of hashing, buckets a round, registers a band, bits of the mantissa.
 ROUNDS, BUCKETS, ROWS, MANTISSA = 12, 16, 4, 10
@@ -31,6 +31,8 @@ REGISTERS = ROUNDS * BUCKETS
 #: Registers of the first rounds, by which candidates are estimated.
 MARKED = 6 * BUCKETS
 EMPTY = 0xFFFF
+#: Classes of one block of a band.
+BAND_BLOCK = 1000
 #: Words whose hashes a worker remembers; the table is emptied when full.
 REMEMBERED = 500_000
 
@@ -197,12 +199,27 @@ def _likely(threshold: float, slack: float):
     return run
 
 
+def _met(crowd: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b) of all classes with a band in common; ``crowd(k, h)``, ``shared(k, n)``.
+
+    A band of many classes is cut into blocks, and each pair of blocks is met on a key of its own, so that no task has a whole band.
+    """
+    blocks = written(shared.where(F.col("n") > BAND_BLOCK).select("k", F.ceil(F.col("n") / BAND_BLOCK).cast("int").alias("blocks")), "blocks")
+    large = blocks.count()
+    if not large:
+        return crowd.select("k", F.col("h").alias("a")).join(crowd.select("k", F.col("h").alias("b")), "k").where("a < b").select("a", "b")
+    cut = crowd.join(F.broadcast(blocks) if small_enough(large) else blocks, "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    left = cut.select("k", F.col("h").alias("a"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = cut.select("k", F.col("h").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    return left.join(right, ["k", "i", "j"]).where("i < j OR a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar_texts(docs: DataFrame, key: str = "id", text: str = "content", size: int = 5, threshold: float = 0.8, least_words: int = 0, slack: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and pairs of similar classes.
 
     Returns ``members(id, h)``, every record that has at least ``least_words`` (and ``size``) words with the class
     of its word sequence, and ``pairs(a, b, similarity)``, the pairs of classes whose sets of runs have a Jaccard
-    similarity of at least ``threshold``, a < b.  No pair is capped away: a band is joined with itself, the estimate
+    similarity of at least ``threshold``, a < b.  No pair is capped away: a band is joined with itself, a crowded one in pairs of blocks, the estimate
     drops only pairs ``slack`` standard errors below the threshold, the rest is verified exactly.
 
     Null and empty texts and texts of fewer words are in no class; rows that share a key and agree in the text
@@ -219,8 +236,7 @@ def similar_texts(docs: DataFrame, key: str = "id", text: str = "content", size:
     shared = written(shared, "shared")
     couples = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     crowd = written(semi_join(bands, shared.where("n > 2"), "k", 8).distinct(), "crowd")
-    left, right = crowd.select("k", F.col("h").alias("a")), crowd.select("k", F.col("h").alias("b"))
-    candidates = written(couples.union(left.join(right, "k").where("a < b").select("a", "b")).distinct(), "candidates")
+    candidates = written(couples.union(_met(crowd, shared)).distinct(), "candidates")
 
     # Registers of the classes that are in a candidate pair.
     wanted = written(candidates.select(F.col("a").alias("h")).union(candidates.select(F.col("b").alias("h"))).distinct(), "wanted")

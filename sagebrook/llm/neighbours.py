@@ -69,9 +69,9 @@ def curve_keys(x: np.ndarray, orderings: int = ORDERINGS) -> np.ndarray:
     return out
 
 
-#: Most rows of one range of the orderings, and how many windows' reach it has at least: a range's end cuts the windows
-#: there, in one of the orderings.
-RANGE_ROWS, WINDOWS = 150_000, 16
+#: Rows of one range of the orderings, whatever the session's settings, and the most ranges; a range's end cuts the windows there, in one of the
+#: orderings.
+RANGE_ROWS, MOST_RANGES = 32 * REACH, 8192
 
 
 def _ordered(orderings: int):
@@ -337,8 +337,7 @@ def nearest(tables: dict[str, DataFrame], k: int = 5, floor: float = -1.0, key:
         same = surplus.join(heads, ["t", "h"]).select("t", "id", "other")
         rows = rows.join(surplus.select("t", "id"), ["t", "id"], "left_anti")
     n = sum(df.count() for df in tables.values()) * orderings
-    setting = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, n // RANGE_ROWS, min(setting, n // (WINDOWS * REACH)))
+    parts = min(MOST_RANGES, max(1, n // RANGE_ROWS))
     placed = spread(rows).mapInArrow(_ordered(orderings), "o byte, t byte, key long, id long, v binary").repartitionByRange(parts, "o", "t", "key", "id").sortWithinPartitions("o", "t", "key", "id")
     found = placed.mapInArrow(_windows(k, floor), "t byte, id long, crowd boolean, near array<struct<away:double,other:long>>")
     # At most k candidates a record from each ordering and each block of a crowd.

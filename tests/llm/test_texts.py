@@ -61,6 +61,23 @@ def test_near_duplicates_a_third_copies(spark):
     assert neardup.similar_pairs(spark.createDataFrame([], "id long, content string")).count() == 0
 
 
+def test_a_crowded_band_is_met_in_pairs_of_blocks(spark, monkeypatch):
+    """Near-copies of one template: every pair is found, whatever the size of a block."""
+    words_ = [f"w{n}" for n in range(90)]
+    rows = [(n + 1, " ".join([*words_[:n], f"own{n}", *words_[n:]])) for n in range(60)]
+    df = spark.createDataFrame(rows, "id long, content string")
+    got = []
+    for block in (1000, 7):
+        monkeypatch.setattr(neardup, "BAND_BLOCK", block)
+        got.append({tuple(r) for r in neardup.similar_pairs(df, size=3, threshold=0.8).collect()})
+    assert got[0] == got[1] == jaccard_pairs(rows, 3, 0.8) and len(got[0]) == 60 * 59 // 2
+
+
+def test_rates_of_many_repeats():
+    for mean, cap in ((700.0, 2000), (1500.0, 1600)):
+        assert abs(cap - sum(mixing.capped_rate(mean, cap)) - mean) < 1e-6 * mean
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(3)
     errors = []
