@@ -76,11 +76,12 @@ def paths(edges: DataFrame, starts: DataFrame, max_depth: int = 2, direction: st
     return out
 
 
-def depth_first(edges: DataFrame, starts: DataFrame, max_depth: int = 2, direction: str = "out", edge_type: str | None = None, limit: int = 100) -> DataFrame:
+def depth_first(edges: DataFrame, starts: DataFrame, max_depth: int = 2, direction: str = "out", edge_type: str | None = None, limit: int | None = 100) -> DataFrame:
     """Depth first with a visited set: (start, id, depth, visit); depth and order are those of the first visit.
 
     The order is sequential by nature.  Each start's reachable part, bounded by ``max_depth``, is one task of its own;
-    neighbours are taken by ascending id and nodes first met at ``max_depth`` are not gone beyond.
+    neighbours are taken by ascending id and nodes first met at ``max_depth`` are not gone beyond.  ``limit`` cuts the visits of a start; None
+    takes all.
     """
     steps = _directed(edges, direction, edge_type).select("src", "dst").distinct()
     near = traverse(edges, starts, max_depth, direction, edge_type)
@@ -92,7 +93,7 @@ def depth_first(edges: DataFrame, starts: DataFrame, max_depth: int = 2, directi
         start = key[0]
         links = {int(s): sorted({int(d) for d in g["dst"].dropna()}, reverse=True) for s, g in pdf.groupby("src")}
         stack, seen, out = [(int(start), 0)], set(), []
-        while stack and len(out) < limit:
+        while stack and (limit is None or len(out) < limit):
             node, depth = stack.pop()
             if node in seen:
                 continue

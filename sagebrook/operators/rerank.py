@@ -31,12 +31,12 @@ def apply_scores(docs: DataFrame, scores: DataFrame, by: list[str] | None = None
     """Documents with the model's scores, best first.
 
     ``docs`` has ``doc_index`` and ``score``, ``scores`` (doc_index, score, optionally ``position``).  Of several scores of one
-    document the last counts; documents without one keep theirs; ``normalise`` maps the scores of a query to 0..1 (all equal
+    document the last by ``position`` counts, without positions the largest; documents without one keep theirs; ``normalise`` maps the scores of a query to 0..1 (all equal
     gives 1).  Ties keep the order of the documents.
     """
     by = by or []
     keys = [*by, "doc_index"]
-    last = F.max_by("score", "position") if "position" in scores.columns else F.last("score")
+    last = F.max_by("score", "position") if "position" in scores.columns else F.max("score")
     new = scores.groupBy(*keys).agg(last.alias("new"))
     if normalise:
         w = Window.partitionBy(*(by or [F.lit(0)]))

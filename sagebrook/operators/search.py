@@ -79,8 +79,9 @@ def _pass(chunks: DataFrame, ids: np.ndarray, queries: np.ndarray, limit: int, k
         for batch in batches:
             lengths = np.asarray(batch.column(1).value_lengths().fill_null(-1))
             at = np.nonzero(lengths == queries.shape[1])[0]
-            for a in range(0, len(at), 4096):
-                part = pa.array(at[a : a + 4096])
+            step = max(64, (2 << 20) // max(1, len(ids)))  # so that a block of similarities takes 16 MB
+            for a in range(0, len(at), step):
+                part = pa.array(at[a : a + step])
                 x = np.asarray(batch.column(1).take(part).flatten().fill_null(float("nan")), float).reshape(-1, queries.shape[1])
                 k = np.asarray(batch.column(0).take(part))
                 good = np.isfinite(x).all(axis=1)
@@ -137,10 +138,10 @@ def bm25(index: DataFrame, stats: tuple[int, float], query: str, limit: int = 10
     n, mean = stats
     wanted = F.array_distinct(terms(F.lit(query)))
     hits = index.where(F.array_contains(wanted, F.col("term")))
-    df = Window.partitionBy("term")
-    idf = F.log(1 + (F.lit(n) - F.count("*").over(df) + 0.5) / (F.count("*").over(df) + 0.5))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # as many rows as the query has terms
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(max(mean, 1e-9))))
-    scored = hits.withColumn("part", idf * part).groupBy("id").agg(F.sum("part").alias("score"))
+    scored = hits.join(df, "term").withColumn("part", idf * part).groupBy("id").agg(F.sum("part").alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -150,6 +151,12 @@ def inverted_index(chunks: DataFrame, key: str = "id", text: str = "content") ->
     return found.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf")).select("term", "id", "tf", "length")
 
 
+def index_stats(chunks: DataFrame, text: str = "content") -> tuple[int, float]:
+    """(documents with terms, mean number of terms), from the texts, without an exchange of them."""
+    n, mean = chunks.select(F.size(terms(F.col(text))).alias("length")).where("length > 0").agg(F.count("*"), F.avg("length")).first()
+    return n, mean or 0.0
+
+
 def hybrid(chunks: DataFrame, vector: list[float], text: str, limit: int = 10, key: str = "id", copies: bool = False) -> DataFrame:
     """Vector and word search over one table, fused by reciprocal ranks; ``copies`` as for :func:`semantic`."""
     from sagebrook.operators.fusion import reciprocal_ranks

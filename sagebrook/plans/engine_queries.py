@@ -141,9 +141,8 @@ SELECT id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
 ORDER BY round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) DESC, id LIMIT 10""",
 )
 def bm25_topk(spark, folder):
-    index = search.inverted_index(_chunks(spark, folder))
-    n, mean = index.select("id", "length").distinct().agg(F.count("*"), F.avg("length")).first()
-    return search.bm25(index, (n, mean or 0.0), "session limit").select("id", F.round("score", 6).alias("score"))
+    chunks = _chunks(spark, folder).select("id", "content")
+    return search.bm25(search.inverted_index(chunks), search.index_stats(chunks), "session limit").select("id", F.round("score", 6).alias("score"))
 
 
 _SQL_HYBRID = f"""WITH q AS ({_SQL_Q}), c AS ({_SQL_CHUNKS}), d AS (SELECT id, {_SQL_DISTANCE} AS d FROM c, q),
