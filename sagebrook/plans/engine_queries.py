@@ -9,7 +9,7 @@ from sagebrook import models, schemas
 from sagebrook.functions import chunkers
 from sagebrook.functions import vector as V
 from sagebrook.functions.text import graphemes, line_slice, token_estimate
-from sagebrook.operators import chunking, community, extraction, fusion, generation, graph, rerank, retrievers, search, triples
+from sagebrook.operators import chunking, community, fusion, generation, graph, rerank, retrievers, search, triples
 from sagebrook.operators.positions import positions
 from sagebrook.plans import agent, routing
 
@@ -310,17 +310,12 @@ def bfs_paths(spark, folder):
 @query(
     "bfs_nodes",
     f"""WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM ({_SQL_EDGES}) WHERE from_id IS NOT NULL AND to_id IS NOT NULL),
-n AS (SELECT DISTINCT id FROM graph_entities WHERE id % 20 = 0),
+n AS (SELECT DISTINCT id FROM graph_entities),
 g AS (SELECT id AS start, id, 0 AS depth FROM n UNION SELECT start, b, depth + 1 FROM g JOIN e ON e.a = g.id WHERE depth < 3)
 SELECT start, id, min(depth)::INT AS depth FROM g GROUP BY start, id""",
 )
 def bfs_nodes(spark, folder):
-    return graph.traverse(_edges(spark, folder), _entities(spark, folder).where("id % 20 = 0").select("id"), 3)
-
-
-@query("dfs_visits")
-def dfs_visits(spark, folder):
-    return graph.depth_first(_edges(spark, folder), _entities(spark, folder).where("id % 20 = 0").select("id"), 2)
+    return graph.traverse(_edges(spark, folder), _entities(spark, folder).select("id"), 3)
 
 
 @query(
@@ -356,21 +351,6 @@ def label_propagation_3(spark, folder):
     return community.label_propagation(_entities(spark, folder), _edges(spark, folder), 3)
 
 
-@query("communities_detected")
-def communities_detected(spark, folder):
-    return community.communities(community.label_propagation(_entities(spark, folder), _edges(spark, folder), 20)).select("id", "level", "part", F.size("entity_ids").alias("members"))
-
-
-@query("community_hierarchy")
-def community_hierarchy(spark, folder):
-    return community.hierarchy(_entities(spark, folder), _edges(spark, folder), 2, max_rounds=10)
-
-
-@query("community_summaries")
-def community_summaries(spark, folder):
-    return community.summarise(_t(spark, folder, "graph_communities"), _entities(spark, folder), _edges(spark, folder), models.HashProvider().generate).select("id", "level", "summary", "error")
-
-
 @query(
     "chunks_of_entities",
     f"""WITH c AS ({_SQL_CHUNKS}), e AS ({_SQL_ENTITIES}), x AS (SELECT DISTINCT unnest(source_chunk_ids) AS id FROM e WHERE type = 'person') SELECT c.id, c.source, 0 AS depth FROM c JOIN x ON x.id = c.id""",
@@ -401,23 +381,6 @@ def local_graph_search(spark, folder):
     return found.select("id", "content", F.round("score", 6).alias("score"))
 
 
-def _graph(spark, folder, mode):
-    provider = models.HashProvider()
-    meta = F.lit(None).cast("map<string,string>").alias("metadata")
-    rows = retrievers.with_summary_vectors(_t(spark, folder, "graph_communities"), provider.embed)
-    return retrievers.Graph(_entities(spark, folder), _edges(spark, folder), _chunks(spark, folder).select("*", meta), rows, provider.embed, mode, 2, 0.8, 0.2)
-
-
-@query("global_graph_search")
-def global_graph_search(spark, folder):
-    return _graph(spark, folder, "global").retrieve(retrievers.Query("the session log")).select("id", "content", F.round("score", 6).alias("score"))
-
-
-@query("hybrid_graph_search")
-def hybrid_graph_search(spark, folder):
-    return _graph(spark, folder, "hybrid").retrieve(retrievers.Query("the session log")).select("id", "content", F.round("score", 9).alias("score"))
-
-
 # --- triples ---
 
 
@@ -558,42 +521,6 @@ def rerank_normalised(spark, folder):
     return rerank.apply_scores(docs, scores, ["project"], None, True).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "entity_resolution",
-    """SELECT * FROM (VALUES ('New York', 'location', ['NYC', 'New York City']), ('Alice', 'person', []::VARCHAR[]), ('Acme', 'organization', ['Acme Corp']), ('Bob', 'person', ['Bobby'])) v(name, type, aliases)""",
-)
-def entity_resolution(spark, folder):
-    found = spark.createDataFrame(
-        [("New York", "location", "", []), ("NYC", "location", "a city", []), ("Alice", "person", "", []), ("Acme Corp", "organization", "", []), ("Bob", "person", "", ["Bobby"])],
-        "name string, type string, description string, aliases array<string>",
-    )
-    mapping = spark.createDataFrame([("New York", ["NYC", "New York City"]), ("Alice", []), ("Acme", ["Acme Corp"]), ("Nobody", ["No One"])], "canonical string, aliases array<string>")
-    return extraction.resolve(found, mapping).select("name", "type", "aliases")
-
-
-@query(
-    "extraction_parse",
-    """SELECT * FROM (VALUES ('Ada', 'person', 'a person', ['A.']), ('Lab', 'concept', '', []::VARCHAR[])) v(name, type, description, aliases)""",
-)
-def extraction_parse(spark, folder):
-    answer = '```json\n[{"name": "Ada", "type": "person", "description": "a person", "aliases": ["A."]}, {"name": "Lab"}, {"type": "event"}]\n```'
-    rows = spark.createDataFrame([(answer,), ("no json",)], "answer string")
-    return rows.select(F.explode(extraction.parse_entities(F.col("answer"))).alias("e")).select("e.*")
-
-
-@query("generation_run")
-def generation_run(spark, folder):
-    provider = models.HashProvider()
-    rows = _t(spark, folder, "graph_communities").where("summary IS NOT NULL").select(F.col("id").alias("qid"), F.col("summary").alias("query"))
-    rows = generation.embed_query(generation.new(rows), provider.embed)
-    near = search.semantic_batch(_chunks(spark, folder), rows.select("qid", F.col("query_embedding").alias("embedding")), 3)
-    results = near.join(_chunks(spark, folder).select("id", "content", "source"), "id").select("qid", F.col("rank").alias("position"), F.col("id").cast("string").alias("id"), "content", (1 / (1 + F.col("distance"))).alias("score"), "source", F.create_map().cast("map<string,string>").alias("metadata"))
-    rows = generation.build_prompt(generation.build_context_sources(generation.build_context(generation.put_results(rows, "semantic", results), "semantic"), "semantic"))
-    rows = generation.generate_response(rows, provider.generate)
-    rows = generation.detect_hallucination(rows, provider.generate)
-    return rows.select("qid", "response", "halted", F.to_json("evaluations").alias("evaluations"), F.size("context_sources").alias("sources"))
-
-
 def _generation_lists(spark, folder):
     """Queries with two retrieved lists each: nearest by vector, and those in the order of their ids."""
     base = _t(spark, folder, "embeddings")

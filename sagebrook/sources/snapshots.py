@@ -138,8 +138,8 @@ class SnapshotTable:
         return self._changed(change)
 
     def update(self, values: DataFrame, column: str) -> None:
-        """Set a column of the rows that ``values(key, column)`` names."""
-        new = values.select(self.key, F.col(column).alias("__new"), F.lit(True).alias("__hit"))
+        """Set a column of the rows that ``values(key, column)`` names; of several values of a key the largest counts."""
+        new = values.groupBy(self.key).agg(F.max(column).alias("__new")).withColumn("__hit", F.lit(True))
 
         def change(state: dict) -> tuple[dict, int]:
             touched = self._touched(state["parts"], self._keys(values.select(self.key)))
