@@ -245,6 +245,30 @@ for _name, _chunker in CHUNKERS.items():
     QUERIES[f"chunk_{_name}"] = _chunked(_chunker)
 
 
+#: White space of any script, which chunkers may drop at the ends of chunks.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SQL_INK = f"translate(text, {' || '.join(f'chr({ord(c)})' for c in SPACES)}, '')"
+
+
+@query(
+    "chunk_coverage",
+    "WITH d AS (SELECT doc_id, " + _SQL_INK + " AS ink FROM documents WHERE text IS NOT NULL) SELECT chunker, doc_id, md5(ink) AS ink, length(ink) AS characters FROM d, (VALUES " + ", ".join(f"('{n}')" for n in CHUNKERS) + ") v(chunker) WHERE ink <> ''",
+)
+def chunk_coverage(spark, folder):
+    """What the chunks of each text hold, overlaps once and without white space: the whole text, in order."""
+    docs = _t(spark, folder, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    out = None
+    order = Window.partitionBy("doc_id").orderBy("index")
+    for name, chunker in CHUNKERS.items():
+        parts = chunking.chunk(docs, chunker, "text", ["doc_id"]).select("doc_id", "index", "content", "start_byte", "end_byte")
+        seen = F.coalesce(F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        new = parts.withColumn("again", F.greatest(seen - F.col("start_byte"), F.lit(0))).withColumn("new", F.decode(F.expr("substring(encode(content, 'UTF-8'), again + 1)"), "UTF-8"))
+        whole = new.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "new"))).alias("parts")).select("doc_id", F.translate(F.array_join("parts.new", ""), SPACES, "").alias("ink"))
+        one = whole.where("ink <> ''").select(F.lit(name).alias("chunker"), "doc_id", F.md5(F.col("ink")).alias("ink"), F.length("ink").cast("long").alias("characters"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("chunk_validity", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', true)" for n in ("character", "paragraph_packed", "recursive", "sentence_packed", "semantic", "format_aware")) + ") v(chunker, valid)")
 def chunk_validity(spark, folder):
     docs = _t(spark, folder, "documents").select("doc_id", "text")

@@ -30,14 +30,21 @@ def test_invariants(text):
 
 
 def test_goldens():
-    assert contents(Character(40, 5), "First sentence. Second sentence. Third sentence.") == ["First sentence. Second sentence.", "ence. Third sentence."]
-    assert contents(Sentence(100, 20), "Hi. Ok. Yes. No. Maybe. Sure.") == ["Hi. Ok. Yes. No. Maybe.", "Sure."]
-    assert len(contents(Paragraph(), "First paragraph here.\n\nSecond paragraph here.\n\nThird paragraph here.")) == 3
-    assert len(contents(Paragraph(), "First.\r\n\r\nSecond.")) == 2
-    assert contents(Paragraph(), "First.\n\n\n\nSecond.\n\n\nThird.") == ["First.", "Second.", "Third."]
-    assert {c["metadata"]["hierarchy"] for c in Recursive(80).chunk("Sentence here. " * 20)} == {"sentence"}
-    assert {c["metadata"]["hierarchy"] for c in Recursive(50).chunk("word" * 200)} == {"character"}
-    assert contents(Paragraph(100, 30), "One.\n\nTwo.\n\nA somewhat longer paragraph.") == ["One.\n\nTwo.\n\nA somewhat longer paragraph."]
+    """Results worked out by hand."""
+    walk = "The gate was shut. A lamp hung over it. Nobody came by."
+    # 40 characters reach into "Nobody"; the last sentence end within them is behind "it." at 39, past half of the limit.
+    assert contents(Character(40, 5), walk) == ["The gate was shut. A lamp hung over it.", "r it. Nobody came by."]
+    # No sentence ends past half of the limit: the cut is before the last blank.
+    assert contents(Character(30, 0), "Wide rivers carry heavy barges slowly south") == ["Wide rivers carry heavy", " barges slowly south"]
+    # Sentences are joined until they have 20 characters.
+    assert contents(Sentence(60, 20), "Go on. Stop. Wait a bit. Turn left. Run.") == ["Go on. Stop. Wait a bit.", "Turn left. Run."]
+    assert contents(Sentence(60), "Is it 3.5 km? Yes!  And then") == ["Is it 3.5 km?", "Yes!", "And then"]
+    assert contents(Paragraph(), "Salt.\r\n\r\nPepper and oil.\n\n\n\n  Bread. \n \nWine.") == ["Salt.", "Pepper and oil.", "Bread.", "Wine."]
+    # Short paragraphs take in the next ones; oversized ones are cut at sentences.
+    assert contents(Paragraph(60, 11), "Salt.\n\nOil.\n\nA loaf of dark bread.") == ["Salt.\n\nOil.", "A loaf of dark bread."]
+    assert contents(Paragraph(25), "The oven is hot. The dough is cold.\n\nEnd.") == ["The oven is hot.", "The dough is cold.", "End."]
+    cut = Recursive(30).chunk("A short start.\n\nThe oven is hot. The dough is still cold.\n\n" + "q" * 64)
+    assert [(c["metadata"]["hierarchy"], len(c["content"])) for c in cut] == [("paragraph", 14), ("sentence", 16), ("sentence", 24), ("character", 30), ("character", 30), ("character", 4)]
 
 
 def test_empty_texts():
@@ -46,9 +53,9 @@ def test_empty_texts():
 
 
 def test_semantic_groups():
-    vectors = {"A dog.": [1, 0, 0], "A puppy.": [1, 0, 0], "A cat.": [0, 1, 0]}
-    groups = contents(Semantic(lambda texts: [vectors[t] for t in texts]), "A dog. A puppy. A cat.")
-    assert groups == ["A dog. A puppy.", "A cat."]
+    vectors = {"Rain fell.": [1, 0, 0], "It poured.": [1, 0, 0], "Taxes rose.": [0, 1, 0]}
+    groups = contents(Semantic(lambda texts: [vectors[t] for t in texts]), "Rain fell. It poured. Taxes rose.")
+    assert groups == ["Rain fell. It poured.", "Taxes rose."]
     with pytest.raises(ValueError):
         Semantic().chunk("A. B.")
 
