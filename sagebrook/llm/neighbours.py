@@ -71,7 +71,7 @@ def curve_keys(x: np.ndarray, orderings: int = ORDERINGS) -> np.ndarray:
 
 #: Rows of one range of the orderings, whatever the session's settings, and the most ranges; a range's end cuts the windows there, in one of the
 #: orderings.
-RANGE_ROWS, MOST_RANGES = 32 * REACH, 8192
+RANGE_ROWS, MOST_RANGES = 16 * REACH, 8192
 
 
 def _ordered(orderings: int):
