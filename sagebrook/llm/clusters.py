@@ -1,15 +1,15 @@
 """Clusters of similar embeddings by grids of their projections.
 
 Method: embeddings are projected on a few random directions and quantised; several grids, turned and
-shifted against each other, are used at once.  Cells are counted in SQL, to spread crowded ones
-over tasks.  In a cell of several rows the members that are similar enough hang on its smallest member;
-cells share members across the grids and are joined through them, and the smallest label spreads
+shifted against each other, are used at once.  Cells are counted in SQL.  Within a cell the members that are similar enough hang on its
+smallest member; adjacent cells that hold rows are joined at the face they share: a row near a face visits the cell beyond it, if there is one, and is
+compared with the rows that live there.  Cells share members across the grids as well, and the smallest label spreads
 until nothing changes.  A cluster's typical members are those of its densest cell.
 
 The grids only choose which pairs are compared; a link needs the similarity itself.  Where half precision
 can't tell whether a pair reaches the threshold, it is computed anew in double precision.  How many
 directions a grid has follows from the number of rows, so that a cell's rows grow with its square root; how
-many grids there are follows from the chance that one of them parts a pair just at the threshold.
+many grids there are follows from the chance that one of them parts a pair just at the threshold by more than one face.
 """
 
 from __future__ import annotations
@@ -38,46 +38,64 @@ COPIES = 32
 DOUBT = 1.2e-3
 #: Share of the rows that one direction leaves together, and density at an edge, for unit vectors without structure.
 TOGETHER, DENSITY = 0.53, 2.9
+#: Share of the pairs parted by one face of which one row is near enough to visit.
+CAUGHT = 0.93
+
+
+def _deviation(threshold: float) -> float:
+    """Standard deviation of the difference of a pair at the threshold along one direction."""
+    return math.sqrt(2 * (1 - threshold) / DIM)
 
 
 def grid_shape(rows: int, threshold: float) -> tuple[int, int]:
     """(directions, grids) for a number of rows."""
     dims = max(3, min(DIM, round(math.log(max(1.0, math.sqrt(rows) / CELL_ROWS)) / -math.log(TOGETHER))))
-    apart = math.sqrt(2 * (1 - threshold) / DIM) * math.sqrt(2 / math.pi)
-    stay = (1 - min(0.9, apart * DENSITY)) ** dims
-    return dims, max(3, math.ceil(math.log(1 - RECALL) / math.log(1 - stay)))
+    parted = min(0.9, _deviation(threshold) * math.sqrt(2 / math.pi) * DENSITY)
+    meet = (1 - parted) ** dims + CAUGHT * dims * parted * (1 - parted) ** (dims - 1)
+    return dims, max(3, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
+
 
+def _hashed(code: np.ndarray, tab: np.ndarray, grid: int) -> np.ndarray:
+    """One number for the cell of each row in a grid."""
+    key = (tab.astype(np.uint64) << np.uint64(40)) + np.uint64(grid)
+    with np.errstate(over="ignore"):
+        for d in range(code.shape[1]):
+            key = (key ^ code[:, d].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(31)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+    return key.view(np.int64)
 
-def _cells(x: np.ndarray, dims: int, grids: int) -> np.ndarray:
-    """Cell of every row in every grid (rows x grids)."""
+
+def _cells(x: np.ndarray, tab: np.ndarray, dims: int, grids: int, near: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, their cells, whether they visit): every row's own cell in every grid, and the cells beyond faces nearer than ``near``."""
     turned = rotations(grids, dims)
     shift = np.random.default_rng(7).uniform(-SHIFT, SHIFT, (grids, dims))
-    out = np.empty((len(x), grids), np.int64)
+    every = np.arange(len(x))
     for g in range(grids):
-        code = np.floor((x @ turned[g] + shift[g]) / WIDTH).astype(np.int64) + 16
-        key = np.zeros(len(x), np.uint64)
-        with np.errstate(over="ignore"):
-            for d in range(dims):
-                key = (key ^ code[:, d].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(31)
-        out[:, g] = key.view(np.int64)
-    return out
-
-
-def _keyed(dims: int, grids: int, with_vectors: bool):
+        place = (x @ turned[g] + shift[g]) / WIDTH + 16
+        code = np.floor(place).astype(np.int64)
+        yield every, _hashed(code, tab, g), False
+        for d in range(dims) if near > 0 else ():
+            rest = place[:, d] - code[:, d]
+            for step, at in ((-1, np.nonzero(rest * WIDTH < near)[0]), (1, np.nonzero((1 - rest) * WIDTH < near)[0])):
+                beyond = code[at]
+                beyond[:, d] += step
+                yield at, _hashed(beyond, tab[at], g), True
+
+
+def _keyed(dims: int, grids: int, near: float, with_vectors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, raw = rows_of(batch.column(2))
             tabs, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for a in range(0, len(at), 2048):
                 part, x = at[a : a + 2048], unit(raw[a : a + 2048])
-                cells = _cells(x, dims, grids)
-                with np.errstate(over="ignore"):
-                    cells = (cells.view(np.uint64) ^ np.arange(grids, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) ^ tabs[part].astype(np.uint64)[:, None] << np.uint64(57)) * np.uint64(0xBF58476D1CE4E5B9)
-                columns = [pa.array(np.repeat(tabs[part], grids)), pa.array(np.repeat(ids[part], grids)), pa.array(cells.view(np.int64).ravel())]
+                found = list(_cells(x, tabs[part], dims, grids, near))
+                rows = np.concatenate([r for r, _, _ in found])
+                columns = [pa.array(tabs[part][rows]), pa.array(ids[part][rows]), pa.array(np.concatenate([c for _, c, _ in found])), pa.array(np.concatenate([np.full(len(r), v) for r, _, v in found]))]
                 if with_vectors:
-                    columns.append(binary(np.repeat(x, grids, axis=0), np.float16))
-                yield pa.RecordBatch.from_arrays(columns, names=["t", "id", "cell", "v"][: len(columns)])
+                    columns.append(binary(x[rows], np.float16))
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "id", "cell", "visits", "v"][: len(columns)])
 
     return run
 
@@ -115,14 +133,14 @@ def _crowd(z: np.ndarray, low: np.ndarray, floor: float) -> tuple[np.ndarray, np
     return low, low != np.bincount(low).argmax()
 
 
-def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b, sure) among the rows of a block, or between two.
+def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, floor: float, inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, sure) between the rows of two blocks, and with ``inside`` among those of the first.
 
     Sure links connect all that sure pairs connect: every row hangs on the smallest id it reaches.  Pairs in
     doubt are given as they are, unless sure links connect them.
     """
     n = len(ids)
-    all_ids, z = (ids, x) if same else (np.concatenate([ids, others]), np.concatenate([x, y]))
+    all_ids, z = np.concatenate([ids, others]), np.concatenate([x, y])
     order = np.argsort(all_ids, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -131,7 +149,7 @@ def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, flo
         low, outside = _crowd(z, low, floor)
     at = np.arange(len(z))
     left = at < n
-    looks = [(at[outside], at)] if same else [(at[left & outside], at[~left]), (at[left & ~outside], at[~left & outside])]
+    looks = [(at[left & outside], at if inside else at[~left]), (at[left & ~outside], at[~left & outside])]
     doubt = [np.empty((2, 0), np.int64)]
     for rows, columns in looks:
         for a in range(0, len(rows) if len(columns) else 0, 1024):
@@ -154,19 +172,15 @@ def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, flo
 
 def _linked(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (t, *_), rows in runs(batches, 3):
+        for (t, _, pair), rows in runs(batches, 3):
             left = np.asarray(rows.column("side")) == 0
             ids = np.asarray(rows.column("id"))
             x = matrix(rows.column("v"), kind=np.float16).astype(np.float32)
-            if left.all():
-                ids, first = np.unique(ids, return_index=True)
-                if len(ids) < 2:
-                    continue
-                a, b, sure = _hang(ids, x[first], ids, x, floor, True)
-            elif left.any():
-                a, b, sure = _hang(ids[left], x[left], ids[~left], x[~left], floor, False)
-            else:
+            (own, p), (other, q) = (np.unique(ids[at], return_index=True) for at in (left, ~left))
+            inside = pair < 0 or not len(other)
+            if not len(own) or not inside and not len(other) or len(own) + len(other) < 2:
                 continue
+            a, b, sure = _hang(own, x[left][p], other, x[~left][q], floor, inside)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t, np.int8)), pa.array(a), pa.array(b), pa.array(sure)], names=["t", "a", "b", "sure"])
 
@@ -210,21 +224,31 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
         rows = rows.join(copies[0].select("t", "id"), ["t", "id"], "left_anti")
     most = max((df.count() for df in tables.values()), default=0)
     dims, grids = grid_shape(most, threshold)
-    keyed = rows.mapInArrow(_keyed(dims, grids, False), "t byte, id long, cell long")
-    counts = keyed.groupBy("cell").agg(F.count("*").alias("n"))
-    crowded = written(counts.where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowded")
+    near = _deviation(threshold)
+    keyed = rows.mapInArrow(_keyed(dims, grids, near, False), "t byte, id long, cell long, visits boolean")
+    counts = keyed.groupBy("cell").agg(F.count_if(~F.col("visits")).alias("n"), F.count_if("visits").alias("m"))
+    counts = written(counts.where("n > 0 AND n + m > 1"), "cells")
+    full = spread(rows).mapInArrow(_keyed(dims, grids, near, True), "t byte, id long, cell long, visits boolean, v binary")
+    # Cells of one row, and those beyond a face that no row lives in, link nothing: their rows are not exchanged.
+    held = counts.count()
+    if small_enough(held, 16):
+        full = full.join(F.broadcast(counts.select("cell")), "cell", "left_semi")
+    crowded = written(counts.where((F.col("n") > block) | (F.col("m") > block)).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / block).cast("int").alias("more")), "crowded")
     crowds = crowded.count()
-    full = spread(rows).mapInArrow(_keyed(dims, grids, True), "t byte, id long, cell long, v binary")
     if crowds:
         large = F.broadcast(crowded) if small_enough(crowds, 16) else crowded
-        full = full.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        # A row of block k is the left side of the pairs (k, j) for j >= k and the right side of (j, k) for j < k.
-        code = lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own"))
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(code(j).cast("int").alias("pair"), F.when(j >= F.col("own"), 0).otherwise(1).cast("byte").alias("side")))
-        full = full.withColumn("p", F.explode(pair)).select("t", "cell", F.col("p.pair").alias("pair"), F.col("p.side").alias("side"), "id", "v")
+        full = full.join(large, "cell", "left")
+        # Blocks 0 to blocks - 1 live in the cell, those after them visit.  A row of block k is the left side of the pairs (k, j) for j >= k and the
+        # right side of (j, k) for j < k; visitors meet the blocks that live there only.
+        salt = F.xxhash64("id")
+        own = F.when(F.col("visits"), F.col("blocks") + F.pmod(salt, F.greatest("more", F.lit(1)))).otherwise(F.pmod(salt, F.col("blocks"))).cast("int")
+        full = full.withColumn("own", own).withColumn("last", F.when(F.col("visits"), F.col("blocks")).otherwise(F.col("blocks") + F.col("more")) - 1)
+        code = lambda j: F.least(j, F.col("own")) * (F.col("blocks") + F.col("more")) + F.greatest(j, F.col("own"))
+        pair = F.transform(F.sequence(F.lit(0), F.col("last")), lambda j: F.struct(code(j).cast("int").alias("pair"), F.when(j >= F.col("own"), 0).otherwise(1).cast("byte").alias("side")))
+        whole = F.array(F.struct(F.lit(-1).alias("pair"), F.col("visits").cast("byte").alias("side")))
+        full = full.withColumn("p", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(pair))).select("t", "cell", F.col("p.pair").alias("pair"), F.col("p.side").alias("side"), "id", "v")
     else:
-        full = full.select("t", "cell", F.lit(0).alias("pair"), F.lit(0).cast("byte").alias("side"), "id", "v")
+        full = full.select("t", "cell", F.lit(-1).alias("pair"), F.col("visits").cast("byte").alias("side"), "id", "v")
     placed = full.repartition("t", "cell", "pair").sortWithinPartitions("t", "cell", "pair")
     links = written(placed.mapInArrow(_linked(threshold), "t byte, a long, b long, sure boolean").distinct(), "similar")
     sure, doubt = links.where("sure").select("t", "a", "b"), links.where("NOT sure").select("t", "a", "b")
@@ -239,9 +263,9 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
     node = lambda c: F.struct("t", F.col(c).alias("id"))
     found = connected_components(sure.select(node("a").alias("a"), node("b").alias("b")))
     labels = written(found.select(F.col("id.t").alias("t"), F.col("id.id").alias("id"), F.col("component.id").alias("cluster_id")).select(name.alias("tab"), "id", "cluster_id"), "labels")
-    for table in (crowded, links):
+    for table in (counts, crowded, links):
         dropped(table)
-    first = every.mapInArrow(_keyed(dims, 1, False), "t byte, id long, cell long")
+    first = every.mapInArrow(_keyed(dims, 1, 0.0, False), "t byte, id long, cell long, visits boolean")
     return labels, first.select(name.alias("tab"), "id", "cell")
 
 
