@@ -38,8 +38,9 @@ COPIES = 32
 DOUBT = 1.2e-3
 #: Share of the rows that one direction leaves together, and density at an edge, for unit vectors without structure.
 TOGETHER, DENSITY = 0.53, 2.9
-#: Share of the pairs parted by one face of which one row is near enough to visit.
-CAUGHT = 0.93
+#: Share of the pairs parted by one face of which one row is near enough to visit: those at most two deviations apart, and of the others
+#: (the distance of parted pairs has the density r exp(-r^2 / 2)) the share 2 / r that lie so.
+CAUGHT = 1 - math.exp(-2) + 2 * math.sqrt(math.pi / 2) * math.erfc(math.sqrt(2))
 
 
 def _deviation(threshold: float) -> float:
