@@ -29,7 +29,7 @@ from sagebrook.storage import dropped, semi_join, small_enough, spread, written
 #: Width of a cell along a direction, and how far its edge may lie from the middle of unit vectors.
 WIDTH, SHIFT = 0.5, 0.09
 #: Wanted chance to compare a pair at the threshold; a cell holds about this times the root of the rows.
-RECALL, CELL_ROWS = 0.985, 6.0
+RECALL, CELL_ROWS = 0.985, 8.0
 #: Rows of a block of a cell; cells above it are spread over tasks by pairs of blocks.
 BLOCK = 16384
 #: Rows that share one embedding above which all but one are linked to it directly and stay out of the grids.
