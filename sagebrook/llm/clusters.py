@@ -38,9 +38,11 @@ COPIES = 32
 DOUBT = 1.2e-3
 #: Share of the rows that one direction leaves together, and density at an edge, for unit vectors without structure.
 TOGETHER, DENSITY = 0.53, 2.9
-#: Share of the pairs parted by one face of which one row is near enough to visit: those at most two deviations apart, and of the others
-#: (the distance of parted pairs has the density r exp(-r^2 / 2)) the share 2 / r that lie so.
-CAUGHT = 1 - math.exp(-2) + 2 * math.sqrt(math.pi / 2) * math.erfc(math.sqrt(2))
+#: How far from a face rows visit, in standard deviations of the difference of a pair at the threshold along a direction, and the share of the
+#: pairs parted by one face of which a row does: those at most twice as far apart, and of the others (the distance of parted
+#: pairs has the density r exp(-r^2 / 2)) the share 2 NEAR / r that lie so.
+NEAR = 0.7
+CAUGHT = 1 - math.exp(-2 * NEAR**2) + 2 * NEAR * math.sqrt(math.pi / 2) * math.erfc(math.sqrt(2) * NEAR)
 
 
 def _deviation(threshold: float) -> float:
@@ -225,7 +227,7 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
         rows = rows.join(copies[0].select("t", "id"), ["t", "id"], "left_anti")
     most = max((df.count() for df in tables.values()), default=0)
     dims, grids = grid_shape(most, threshold)
-    near = _deviation(threshold)
+    near = NEAR * _deviation(threshold)
     keyed = rows.mapInArrow(_keyed(dims, grids, near, False), "t byte, id long, cell long, visits boolean")
     counts = keyed.groupBy("cell").agg(F.count_if(~F.col("visits")).alias("n"), F.count_if("visits").alias("m"))
     counts = written(counts.where("n > 0 AND n + m > 1"), "cells")
