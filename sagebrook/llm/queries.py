@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sagebrook.llm import clusters, mixing, names, neardup, neighbours, quality, splitting, tokenizer
@@ -73,6 +73,27 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_pieces(spark, folder).where("piece = 0").select("id", "fmt")
 
 
+def p6_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every chunk that had to be cut: what its pieces hold, overlaps once, the least and largest overlap, and whether all are within the limit."""
+    limits = _read(spark, folder, "split_limits")
+    pieces = p6_pieces(spark, folder).join(F.broadcast(limits.groupBy("fmt").agg(F.max("max_chars").alias("most"))), "fmt")  # as many rows as there are formats
+    order = Window.partitionBy("id").orderBy("piece")
+    seen = pieces.withColumn("again", F.lag("end").over(order) - F.col("start"))
+    new = F.struct("piece", F.expr("substring(text, coalesce(again, 0) + 1)").alias("t"))
+    held = seen.groupBy("id", "fmt").agg(F.array_sort(F.collect_list(new)).alias("parts"), F.min("again").alias("least"), F.max("again").alias("largest"), F.bool_and(F.length("text") <= F.col("most")).alias("within"))
+    return held.select("id", "fmt", F.md5(F.array_join("parts.t", "").cast("binary")).alias("text"), "least", "largest", "within")
+
+
+def p6_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """At which natural boundaries the cuts lie, by format."""
+    return splitting.cut_quality(_read(spark, folder, "rag_chunks"), _read(spark, folder, "split_limits"))
+
+
+def p7_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text after encoding and decoding."""
+    return tokenizer.decode_ids(p7_ids(spark, folder), "ids", ["doc_id"])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokenizer.encode_ids(_read(spark, folder, "documents"), "text", ["doc_id"])
@@ -114,7 +135,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p6_cover": p6_cover,
+    "p6_cuts": p6_cuts,
     "p7_ids": p7_ids,
+    "p7_text": p7_text,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
@@ -144,7 +168,9 @@ SELECT DISTINCT tab, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r
     "p6_found": r"""
 WITH c AS (SELECT id, content, lower(CASE WHEN contains(part, '.') THEN regexp_extract(part, '[^.]*$') END) AS e FROM (
   SELECT id, content, regexp_extract(regexp_replace(source, '[?#](.|\n)*$', ''), '[^/]*$') AS part FROM rag_chunks)),
-l AS (SELECT c.id, c.content, coalesce(k.max_chars, o.max_chars) AS m, coalesce(k.fmt, o.fmt) AS fmt
+l AS (SELECT c.id, c.content, coalesce(k.max_chars, o.max_chars) AS m, coalesce(k.fmt, o.fmt) AS fmt, coalesce(k.overlap_chars, o.overlap_chars) AS v
   FROM c LEFT JOIN split_limits k ON k.ext = c.e CROSS JOIN (SELECT * FROM split_limits WHERE ext = 'other') o)
 SELECT DISTINCT id, fmt FROM l WHERE length(content) > m""",
+    "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
+ORACLE["p6_cover"] = ORACLE["p6_found"].replace("SELECT DISTINCT id, fmt FROM l", "SELECT DISTINCT ON (id) id, fmt, md5(content) AS text, least(v, m // 2)::INT AS least, least(v, m // 2)::INT AS largest, true AS within FROM l")

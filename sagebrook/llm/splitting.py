@@ -179,3 +179,22 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """
     kind = chunks.schema["id"].dataType.simpleString()
     return oversized(chunks, limits).mapInArrow(_pieces, f"id {kind}, fmt string, piece int, start int, end int, text string")
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held: dict[tuple[str, int], int] = {}
+        for fmt, limit, overlap, text in zip(*(c.to_pylist() for c in batch.columns)):
+            ranks = [set(places) for places in boundaries(text, fmt)]
+            for _, cut in split_text(text, fmt, limit, overlap)[:-1]:
+                rank = next((n for n, places in enumerate(ranks) if cut in places), -1)
+                held[fmt, rank] = held.get((fmt, rank), 0) + 1
+        keys = sorted(held)
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.string()), pa.array([r for _, r in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], names=["fmt", "rank", "n"])
+
+
+def cut_quality(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """(fmt, rank, cuts, share): at which natural boundaries oversized records are cut, 0 for the strongest of the format, -1 for none."""
+    found = oversized(chunks, limits).select("fmt", "max_chars", "overlap_chars", "content").mapInArrow(_ranked, "fmt string, rank int, n long").groupBy("fmt", "rank").agg(F.sum("n").alias("cuts"))
+    whole = found.groupBy("fmt").agg(F.sum("cuts").alias("all"))  # as many rows as there are formats
+    return found.join(whole, "fmt").select("fmt", "rank", "cuts", F.round(F.col("cuts") / F.col("all"), 6).alias("share"))

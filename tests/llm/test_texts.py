@@ -137,6 +137,16 @@ def test_no_boundary_and_bad_limits():
         splitting.split_text("x", "plain", 0)
 
 
+def test_cut_quality(spark):
+    text = "One line of words.\n" * 40
+    df = spark.createDataFrame([(1, text, "a.md"), (1, text, "a.md"), (2, "x" * 900, "b.md"), (3, None, "c.md"), (4, "short", "d.md")], "id long, content string, source string")
+    limits = spark.createDataFrame([("md", "markdown", 200, 20), ("other", "text", 100, 10)], "ext string, fmt string, max_chars int, overlap_chars int")
+    rows = {r["rank"]: (r.cuts, r.share) for r in splitting.cut_quality(df, limits).collect()}
+    assert rows[-1][0] > 0 and sum(n for n, _ in rows.values()) == sum(len(splitting.split_text(t, "markdown", 200, 20)) - 1 for t in (text, "x" * 900))
+    assert abs(sum(share for _, share in rows.values()) - 1) < 1e-5
+    assert splitting.cut_quality(df.where("false"), limits).count() == 0
+
+
 def test_split_table(spark):
     limits = spark.createDataFrame([("md", "markdown", 30, 5), ("other", "other", 20, 5)], "ext string, fmt string, max_chars int, overlap_chars int")
     long_ = "word " * 10
