@@ -174,3 +174,14 @@ SELECT DISTINCT id, fmt FROM l WHERE length(content) > m""",
     "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
 ORACLE["p6_cover"] = ORACLE["p6_found"].replace("SELECT DISTINCT id, fmt FROM l", "SELECT DISTINCT ON (id) id, fmt, md5(content) AS text, least(v, m // 2)::INT AS least, least(v, m // 2)::INT AS largest, true AS within FROM l")
+ORACLE["p3_neighbours"] = f"""
+WITH {_SQL_VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY tab, a ORDER BY s DESC, b) AS r FROM s)
+SELECT tab, a AS id, r::INT AS rank, b AS neighbour, s AS similarity FROM r WHERE r <= 5"""
+#: Classes of equal words, links between them, and the smallest id that a chain of links reaches.
+ORACLE["p1_groups"] = ORACLE["p1_found"].replace("\nWITH w AS", "\nWITH RECURSIVE w AS").replace(
+    "SELECT id_a, id_b FROM c WHERE common >= 0.5 * (n + m - common)",
+    """, f AS (SELECT id_a, id_b FROM c WHERE common >= 0.5 * (n + m - common)), k AS (SELECT id, min(id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS class_size FROM w WHERE len(w) >= 20),
+x AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM f JOIN k a ON a.id = f.id_a JOIN k b ON b.id = f.id_b WHERE a.class_id <> b.class_id), y AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
+g AS (SELECT DISTINCT class_id AS a, class_id AS b FROM k UNION SELECT g.a, y.b FROM g JOIN y ON y.a = g.b), h AS (SELECT a AS class_id, min(b) AS group_id FROM g GROUP BY a), n AS (SELECT a AS class_id, count(*) AS links FROM y GROUP BY a)
+SELECT k.id, group_id, k.class_id, class_size, coalesce(links, 0) AS links, k.id = group_id AS keep FROM k JOIN h ON h.class_id = k.class_id LEFT JOIN n ON n.class_id = k.class_id""",
+)
