@@ -280,13 +280,16 @@ def chunk_validity(spark, folder):
     return out
 
 
-@query("text_lengths", "SELECT doc_id, length(text) AS characters, length_grapheme(text) AS graphemes, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL")
+@query("text_lengths", "SELECT doc_id, length(text) AS characters, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL")
 def text_lengths(spark, folder):
     docs = _t(spark, folder, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.length("text").cast("long").alias("characters"), graphemes(F.col("text")).cast("long").alias("graphemes"), F.octet_length("text").cast("long").alias("bytes"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("characters"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-del ORACLE["text_lengths"]  # the engines' Unicode versions cut some emoji differently
+@query("text_graphemes")
+def text_graphemes(spark, folder):
+    """No SQL: the engines' Unicode versions cut some emoji differently."""
+    return _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", graphemes(F.col("text")).cast("long").alias("graphemes"))
 
 
 @query("line_slices", r"SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS lines FROM documents WHERE text IS NOT NULL")
@@ -572,10 +575,20 @@ def generation_fusion(spark, folder):
     return generation.results_of(fused, "fused").select("qid", "id", F.col("position").cast("int").alias("position"))
 
 
-@query("generation_concat", _SQL_LISTS + "SELECT qid, id::VARCHAR AS id, r::INT AS position FROM n")
+@query(
+    "generation_concat",
+    _SQL_LISTS
+    + """, a AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.vec_id - q.vec_id AS r FROM embeddings q JOIN embeddings e ON e.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 3 WHERE q.vec_id % 20 = 0),
+o AS (SELECT qid, id, 0 AS l, r FROM n UNION ALL SELECT qid, id, 1, r FROM a), f AS (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY l, r) AS first FROM o)
+SELECT qid, id::VARCHAR AS id, (row_number() OVER (PARTITION BY qid ORDER BY l, r))::INT AS position FROM f WHERE first = 1""",
+)
 def generation_concat(spark, folder):
-    """Both lists one after the other, then without repetitions: the first list again."""
-    both = generation.deduplicate(generation.concatenate(_generation_lists(spark, folder), ["near", "by_id"], "both"), "both", ["id"])
+    """The nearest rows, then the three next ids, without repetitions."""
+    rows = _generation_lists(spark, folder)
+    ids = _t(spark, folder, "embeddings").select("vec_id")
+    after = ids.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.posexplode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("place", "vec_id")).join(ids, "vec_id", "left_semi")
+    found = after.select("qid", (F.col("place") + 1).alias("position"), F.col("vec_id").cast("string").alias("id"), F.lit("").alias("content"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("source"), F.create_map().cast("map<string,string>").alias("metadata"))
+    both = generation.deduplicate(generation.concatenate(generation.put_results(rows, "after", found), ["near", "after"], "both"), "both", ["id"])
     return generation.results_of(both, "both").select("qid", "id", F.col("position").cast("int").alias("position"))
 
 
