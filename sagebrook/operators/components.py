@@ -17,8 +17,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """Component of every node that occurs in ``links``: (id, component), component = smallest id.
 
     Links are undirected.  Each round hangs the larger neighbours of a node below its smallest
-    neighbour, then the smaller ones; both minima are combined before the shuffle, so a hub is no
-    hot task.  A round is written to the shared folder.  Depth falls geometrically: star-shaped
+    neighbour, then the smaller ones; both minima are combined before the shuffle; the
+    join of a hub's neighbours with its minimum, one row, is left to adaptive skew splitting.  A round is written to the shared folder.  Depth falls geometrically: star-shaped
     input ends after two or three rounds.
 
     Null ends are ignored, self-links make their node a component of one, repeated links count once,

@@ -17,6 +17,7 @@ from sagebrook.functions import chunkers
 from sagebrook.operators import chunking, community, extraction, generation, graph, rerank, retrievers, search, triples
 from sagebrook.plans.engine_queries import _SQL_CHUNKS, _SQL_DISTANCE, _SQL_EDGES, _SQL_ENTITIES, _SQL_Q, _SQL_STORE, ORACLE as ENGINE_ORACLE
 from sagebrook.plans.engine_queries import _chunks, _edges, _entities, _ranked_docs, _SQL_RANKED, _store, _t, _vector
+from sagebrook.sources import vector_index
 from sagebrook.sources.snapshots import ChunkStore, GraphStore, from_chunks
 from sagebrook.storage import shared_folder
 
@@ -87,6 +88,14 @@ def store_search(spark, folder):
     return store.search(_vector(spark, folder)).select("id", "source", F.col("metadata").isNotNull().alias("has_metadata"), F.round("score", 6).alias("score"))
 
 
+@query("index_search", f"""WITH q AS ({_SQL_Q}), c AS ({_SQL_CHUNKS}), d AS (SELECT id, {_SQL_DISTANCE} AS d FROM c, q) SELECT id, round(d, 6) AS distance FROM d WHERE d IS NOT NULL ORDER BY d, id LIMIT 10""")
+def index_search(spark, folder):
+    """The inverted-list layout with all lists probed, which is exact."""
+    path = _path(spark, "lists")
+    vector_index.write_index(_chunks(spark, folder).select("id", "embedding"), path, lists=20)
+    return vector_index.search_index(spark, path, _vector(spark, folder), 10, probes=20).select("id", F.round("distance", 6).alias("distance"))
+
+
 _SQL_GOOD_ENTITIES = f"SELECT id FROM ({_SQL_ENTITIES}) WHERE type IS NOT NULL AND trim(type) <> '' AND lower(type) <> 'nil' AND name IS NOT NULL AND trim(name) <> ''"
 
 

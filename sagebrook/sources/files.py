@@ -13,6 +13,18 @@ def load_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("document"))
 
 
+def _text(path: str) -> str:
+    """A file's text; paths with a scheme are opened in the storage that it names."""
+    if "://" in path and not path.startswith("file:"):
+        from pyarrow import fs
+
+        storage, inner = fs.FileSystem.from_uri(path)
+        with storage.open_input_stream(inner) as stream:
+            return stream.read().decode("utf-8")
+    with open(path.removeprefix("file://"), encoding="utf-8") as file:
+        return file.read()
+
+
 def load_sources(ingestion: DataFrame, source: str = "source") -> DataFrame:
     """Rows with ``document``, the content of the file each row names; files are read on the executors."""
 
@@ -25,8 +37,7 @@ def load_sources(ingestion: DataFrame, source: str = "source") -> DataFrame:
                 if path is None:
                     texts.append(None)
                     continue
-                with open(path.removeprefix("file://"), encoding="utf-8") as file:
-                    texts.append(file.read())
+                texts.append(_text(path))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "document"])
 
     from pyspark.sql import types as T
