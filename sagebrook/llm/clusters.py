@@ -8,14 +8,17 @@ until nothing changes.  A cluster's typical members are those of its densest cel
 
 The grids only choose which pairs are compared; a link needs the similarity itself.  Where half precision
 can't tell whether a pair reaches the threshold, it is computed anew in double precision.  How many
-directions a grid has follows from the number of rows, so that a cell's rows grow with its square root; how
-many grids there are follows from the chance that one of them parts a pair just at the threshold by more than one face.
+directions a grid has follows from the number of rows, so that a cell has about as many rows on any table; how
+many grids there are, and how near a face rows visit, follows from the chance that a grid parts a pair just at the threshold and
+no visit makes up for it.  Inside of its task a large cell is cut by finer grids of the same kind, several of them turned against each
+other, so that a row is not compared with all rows of its cell.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +31,22 @@ from sagebrook.storage import dropped, semi_join, small_enough, spread, written
 
 #: Width of a cell along a direction, and how far its edge may lie from the middle of unit vectors.
 WIDTH, SHIFT = 0.5, 0.09
-#: Wanted chance to compare a pair at the threshold; a cell holds about this times the root of the rows.
-RECALL, CELL_ROWS = 0.985, 8.0
+#: Wanted chance to compare a pair at the threshold; about so many rows a cell holds, whatever the table's size.
+RECALL, CELL_ROWS = 0.985, 40_000.0
 #: Rows of a block of a cell; cells above it are spread over tasks by pairs of blocks.
-BLOCK = 16384
+BLOCK = 131_072
+#: Rows of a block that are compared without finer grids, and about how many a cell of a finer grid holds.
+PLAIN_ROWS, FINE_ROWS = 2048, 192
+#: How near a face of a finer grid rows visit (as in ``caught``), and the wanted chance that finer grids compare a pair that a cell holds.
+FINE_NEAR, FINE_RECALL = 0.8, 0.99
+#: At least so many pairs are held before they are merged into the labels.
+HELD = 1 << 16
 #: Rows that share one embedding above which all but one are linked to it directly and stay out of the grids.
 COPIES = 32
 #: Embeddings travel in half precision; a similarity computed from them is off by less than this.
 DOUBT = 1.2e-3
 #: Share of the rows that one direction leaves together, and density at an edge, for unit vectors without structure.
 TOGETHER, DENSITY = 0.53, 2.9
-#: How far from a face rows visit, in standard deviations of the difference of a pair at the threshold along a direction, and the share of the
-#: pairs parted by one face of which a row does: those at most twice as far apart, and of the others (the distance of parted
-#: pairs has the density r exp(-r^2 / 2)) the share 2 NEAR / r that lie so.
-NEAR = 0.7
-CAUGHT = 1 - math.exp(-2 * NEAR**2) + 2 * NEAR * math.sqrt(math.pi / 2) * math.erfc(math.sqrt(2) * NEAR)
 
 
 def _deviation(threshold: float) -> float:
@@ -50,12 +54,38 @@ def _deviation(threshold: float) -> float:
     return math.sqrt(2 * (1 - threshold) / DIM)
 
 
+def caught(near: float) -> float:
+    """Share of the pairs parted by one face of which a row visits, if rows nearer than ``near`` deviations do.
+
+    Those at most twice as far apart, and of the others (the distance of parted pairs has the density
+    r exp(-r^2 / 2)) the share 2 near / r that lie so.
+    """
+    return 1 - math.exp(-2 * near**2) + 2 * near * math.sqrt(math.pi / 2) * math.erfc(math.sqrt(2) * near)
+
+
+def _meet(dims: int, parted: float, near: float) -> float:
+    """Chance that one grid compares a pair that a direction parts with the chance ``parted``."""
+    return (1 - parted) ** dims + caught(near) * dims * parted * (1 - parted) ** (dims - 1)
+
+
+@cache
+def _plan(dims: int, threshold: float) -> tuple[int, float]:
+    """(grids, how near a face rows visit) that reach the recall with the fewest exchanged rows."""
+    deviation = _deviation(threshold)
+    parted = min(0.9, deviation * math.sqrt(2 / math.pi) * DENSITY)
+    best = None
+    for near in np.arange(0, 1.5, 0.02).tolist():
+        grids = max(3, math.ceil(math.log(1 - RECALL) / math.log(1 - FINE_RECALL * _meet(dims, parted, near))))
+        cost = grids * (1 + dims * 2 * near * deviation * DENSITY)
+        if best is None or cost < best[0]:
+            best = cost, grids, near
+    return best[1:]
+
+
 def grid_shape(rows: int, threshold: float) -> tuple[int, int]:
     """(directions, grids) for a number of rows."""
-    dims = max(3, min(DIM, round(math.log(max(1.0, math.sqrt(rows) / CELL_ROWS)) / -math.log(TOGETHER))))
-    parted = min(0.9, _deviation(threshold) * math.sqrt(2 / math.pi) * DENSITY)
-    meet = (1 - parted) ** dims + CAUGHT * dims * parted * (1 - parted) ** (dims - 1)
-    return dims, max(3, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
+    dims = max(3, min(DIM, round(math.log(max(1.0, rows / CELL_ROWS)) / -math.log(TOGETHER))))
+    return dims, _plan(dims, threshold)[0]
 
 
 def _hashed(code: np.ndarray, tab: np.ndarray, grid: int) -> np.ndarray:
@@ -109,7 +139,8 @@ def _merge(low: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     if not apart.any():
         return low
     p, q = p[apart], q[apart]
-    codes = np.unique(np.minimum(p, q) * len(low) + np.maximum(p, q))
+    codes = np.sort(np.minimum(p, q) * len(low) + np.maximum(p, q))
+    codes = codes[np.append(True, codes[1:] != codes[:-1])]
     p, q = codes // len(low), codes % len(low)
     root = np.arange(len(low))
     while True:
@@ -136,14 +167,57 @@ def _crowd(z: np.ndarray, low: np.ndarray, floor: float) -> tuple[np.ndarray, np
     return low, low != np.bincount(low).argmax()
 
 
+@cache
+def _turned(table: int) -> np.ndarray:
+    """Directions of a finer grid."""
+    return rotations(1, 16, seed=1009 + table)[0].astype(np.float32)
+
+
+def _fine_grid(z: np.ndarray, table: int, deviation: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
+    """Cells (rows that live there, rows that visit) of a finer grid, and the chance that it compares a pair at the threshold.
+
+    Faces lie at the medians, so that cells are about as large wherever the rows lie; the chance follows from how many
+    rows lie near the faces.
+    """
+    n, near = len(z), FINE_NEAR * deviation
+    dims = min(15, max(1, round(math.log2(n / FINE_ROWS))))
+    place = z @ _turned(table)[:, :dims]
+    place -= np.median(place, axis=0)
+    code = (place > 0) @ (1 << np.arange(dims))
+    at, d = np.nonzero(np.abs(place) < near)
+    parted = min(0.9, deviation * math.sqrt(2 / math.pi) * len(at) / (n * dims * 2 * near))
+    rows, cell = np.concatenate([np.arange(n), at]), np.concatenate([code, code[at] ^ (1 << d)]).astype(np.uint16)
+    order = np.argsort(cell, kind="stable")  # those that live in a cell come first
+    rows, edges = rows[order], np.arange(1 << dims)
+    starts, ends = np.searchsorted(cell[order], edges), np.searchsorted(cell[order], edges, "right")
+    lives = np.bincount(code, minlength=1 << dims)
+    return [(rows[a : a + k], rows[a + k : b]) for a, k, b in zip(starts.tolist(), lives.tolist(), ends.tolist()) if k and b - a > 1], _meet(dims, parted, FINE_NEAR)
+
+
+def _looks(home: np.ndarray, guests: np.ndarray, left: np.ndarray, outside: np.ndarray, inside: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which rows to compare with which: those that live in a cell with all, the second block's with the first's only, no pair within the largest component."""
+    ours, theirs = home[left[home]], home[~left[home]]
+    near, far = guests[left[guests]], guests[~left[guests]]
+    rest = np.concatenate([theirs, far, near] if inside else [theirs, far])
+    looks = [
+        (ours[outside[ours]], np.concatenate([ours, rest]) if inside else rest),
+        (ours[~outside[ours]], rest[outside[rest]]),
+        (theirs[outside[theirs]], near),
+        (theirs[~outside[theirs]], near[outside[near]]),
+    ]
+    return [(rows, columns) for rows, columns in looks if len(rows) and len(columns)]
+
+
 def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, floor: float, inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b, sure) between the rows of two blocks, and with ``inside`` among those of the first.
 
     Sure links connect all that sure pairs connect: every row hangs on the smallest id it reaches.  Pairs in
-    doubt are given as they are, unless sure links connect them.
+    doubt are given as they are, unless sure links connect them.  Small blocks are compared in full, larger ones within
+    the cells of finer grids, of which there are as many as the wanted chance needs; where rows lie so close
+    that those would compare more than all pairs, all pairs are compared.
     """
     n = len(ids)
-    all_ids, z = np.concatenate([ids, others]), np.concatenate([x, y])
+    all_ids, z = np.concatenate([ids, others]), np.concatenate([x, y]) if len(y) else x
     order = np.argsort(all_ids, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -152,19 +226,45 @@ def _hang(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, flo
         low, outside = _crowd(z, low, floor)
     at = np.arange(len(z))
     left = at < n
-    looks = [(at[left & outside], at if inside else at[~left]), (at[left & ~outside], at[~left & outside])]
-    doubt = [np.empty((2, 0), np.int64)]
-    for rows, columns in looks:
-        for a in range(0, len(rows) if len(columns) else 0, 1024):
-            part = rows[a : a + 1024]
-            near = z[part] @ z[columns].T
-            i, j = np.nonzero(near >= floor - DOUBT)
-            sure = near[i, j] >= floor + DOUBT
-            i, j = part[i], columns[j]
-            low = _merge(low, low[i[sure]], low[j[sure]])
-            i, j = i[~sure], j[~sure]
-            apart = low[i] != low[j]
-            doubt.append(np.stack([i[apart], j[apart]]))
+    doubt, held, waiting = [np.empty((2, 0), np.int64)], [np.empty((2, 0), np.int64)], 0
+
+    def merged() -> None:
+        nonlocal low, waiting
+        i, j = np.concatenate(held, axis=1)
+        low, held[:], waiting = _merge(low, low[i], low[j]), [np.empty((2, 0), np.int64)], 0
+        pairs = np.concatenate(doubt, axis=1)
+        doubt[:] = [pairs[:, low[pairs[0]] != low[pairs[1]]]]
+
+    def compared(cells: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        nonlocal waiting
+        for home, guests in cells:
+            for rows, columns in _looks(home, guests, left, outside, inside):
+                y = z[columns].T
+                for a in range(0, len(rows), 1024):
+                    part = rows[a : a + 1024]
+                    near = z[part] @ y
+                    hits = np.flatnonzero(near >= floor - DOUBT)
+                    i, j = part[hits // len(columns)], columns[hits % len(columns)]
+                    new = low[i] != low[j]
+                    if new.any():
+                        pairs, sure = np.stack([i, j])[:, new], near.ravel()[hits[new]] >= floor + DOUBT
+                        held.append(pairs[:, sure])
+                        doubt.append(pairs[:, ~sure])
+                        waiting += len(sure)
+                        if waiting > max(HELD, len(z)):
+                            merged()
+
+    miss, table = 1.0, 0
+    while miss > 1 - FINE_RECALL:
+        cells, meet = [(at, at[:0])], 1.0
+        if len(z) > PLAIN_ROWS:
+            fine, chance = _fine_grid(z, table, _deviation(floor))
+            tables = max(1.0, math.log((1 - FINE_RECALL) / miss) / math.log(1 - chance))
+            if tables * sum(len(home) * (len(home) + len(guests)) for home, guests in fine) < len(z) * n:
+                cells, meet = fine, chance
+        compared(cells)
+        merged()
+        miss, table = miss * (1 - meet), table + 1
     i, j = np.concatenate(doubt, axis=1)
     apart = low[i] != low[j]
     moved = low != rank
@@ -227,7 +327,7 @@ def similar_components(tables: dict[str, DataFrame], threshold: float = 0.9, key
         rows = rows.join(copies[0].select("t", "id"), ["t", "id"], "left_anti")
     most = max((df.count() for df in tables.values()), default=0)
     dims, grids = grid_shape(most, threshold)
-    near = NEAR * _deviation(threshold)
+    near = _plan(dims, threshold)[1] * _deviation(threshold)
     keyed = rows.mapInArrow(_keyed(dims, grids, near, False), "t byte, id long, cell long, visits boolean")
     counts = keyed.groupBy("cell").agg(F.count_if(~F.col("visits")).alias("n"), F.count_if("visits").alias("m"))
     counts = written(counts.where("n > 0 AND n + m > 1"), "cells")
